@@ -2,21 +2,27 @@
 
 Each document of a source is expected in target / source size copies. In a fixed order within the source the expected copies
 are prefix-summed, one random offset is added, and a document is emitted once per integer boundary that its interval crosses.
-The order goes by size class, a salt of the id, and size, so that copies fall evenly on short and long documents, the words
-taken come near the target, and a source with most of the rows is spread over many cells: no task ranks a whole source.
+The order goes by size, so that copies fall evenly on short and long documents and the words taken come near the target. A
+source is cut into cells of close sizes and a salt of the id, ranked each by itself: no task ranks a whole source.
 """
 
 from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words
+from .common import n_words, written
 
-WEIGHTS, MAX_COPIES, SALTS = (1, 2, 3), 3, 64
-CELL = ["_none", "_source", "_class", "_salt"]
+WEIGHTS, MAX_COPIES, OFFSETS = (1, 2, 3), 3, 16
+SALTS, PARTS = 16, 128
+"""A source's cells: by the binary digits of the size, by its leading digits, and by the id."""
+CELL = ["_none", "_source", "_class", "_part", "_salt"]
+
+
+def offsets(seed: int) -> list[float]:
+    return [x.random() for x in [random.Random(seed)] for _ in range(OFFSETS)]
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit: int = MAX_COPIES) -> DataFrame:
@@ -50,11 +56,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     return out.select("_none", "_source", "source_size", target.alias("target"))
 
 
+def copies(offset: Column) -> Column:
+    """Integer boundaries that the document's interval of expected copies crosses."""
+    rank = F.col("_before") + F.col("_rank")
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return (F.floor((rank + 1) * each + offset) - F.floor(rank * each + offset)).cast("long")
+
+
 def with_copies(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source", seed: int = 6) -> DataFrame:
     """docs with `size`, `source_size`, `target` and `copies`, in place of columns so named.
 
     A null source is a source of its own, the last; null texts have size 0; a document that occurs twice is two documents; an
-    empty table gives an empty result. copies is at most MAX_COPIES. Reruns agree.
+    empty table gives an empty result. copies is at most MAX_COPIES. Of OFFSETS random offsets each source gets the one
+    whose words come nearest its target. Reruns agree. Ids are integers.
     """
     keyed = docs.withColumns({
         "size": n_words(F.col(text)),
@@ -62,19 +76,21 @@ def with_copies(docs: DataFrame, text: str = "text", id_: str = "doc_id", source
         "_source": F.coalesce(F.col(source), F.lit("")),
         "_salt": F.pmod(F.coalesce(F.col(id_), F.lit(0)), F.lit(SALTS)).cast("int"),
     }).withColumn("_class", F.length(F.bin("size")))
+    keyed = keyed.withColumn("_part", F.expr(f"(size * {PARTS}) div shiftleft(1L, _class)")).drop("source_size", "target", "copies")
     cells = keyed.groupBy(*CELL).agg(F.count("*").alias("_rows"), F.sum("size").alias("_words"))
     targets = source_targets(cells.groupBy("_none", "_source").agg(F.sum("_words").alias("source_size")))
-    in_source = Window.partitionBy("_none", "_source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    in_source = Window.partitionBy("_none", "_source").orderBy("_class", "_part", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_rows").over(in_source), F.lit(0))).join(targets, ["_none", "_source"])
-    keyed = keyed.drop("source_size", "target", "copies")
-    in_cell = Window.partitionBy(*CELL).orderBy("size", id_)
-    ranked = keyed.withColumn("_rank", F.row_number().over(in_cell) - 1)
-    ranked = ranked.join(cells.select(*CELL, "_before", "source_size", "target"), CELL)
-    rank = F.col("_before") + F.col("_rank")
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = random.Random(seed).random()
-    crossed = F.floor((rank + 1) * each + offset) - F.floor(rank * each + offset)
-    return ranked.withColumn("copies", crossed.cast("long")).drop(*CELL, "_before", "_rank")
+    cells = written(cells.select(*CELL, "_before", "source_size", "target"), "cells")
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*CELL).orderBy("size", id_)) - 1)
+
+    tried = offsets(seed)
+    sums = [F.sum(F.col("size") * copies(F.lit(o))).alias(f"_{i}") for i, o in enumerate(tried)]
+    taken = ranked.select(*CELL, "size", "_rank").join(cells, CELL).groupBy("_none", "_source", "target").agg(*sums)
+    nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_{i}") - F.col("target")), F.lit(i), F.lit(o).alias("offset")) for i, o in enumerate(tried))))
+    best = taken.select("_none", "_source", nearest["offset"].alias("_offset"))
+    cells = cells.join(best, ["_none", "_source"])
+    return ranked.join(cells, CELL).withColumn("copies", copies(F.col("_offset"))).drop(*CELL, "_before", "_rank", "_offset")
 
 
 def mixed(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source", seed: int = 6) -> DataFrame:

@@ -21,7 +21,6 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-@F.pandas_udf("struct<n_assign: long, n_access: long, n_hex: long, base_sha256: string, spans: string>")
 def _secret_digest(found: pd.Series) -> pd.DataFrame:
     rows = []
     for spans in found:
@@ -33,8 +32,9 @@ def _secret_digest(found: pd.Series) -> pd.DataFrame:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+    digest = F.pandas_udf(_secret_digest, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
     found = secrets_scan.scanned(documents(spark, sf_dir))
-    return found.select("doc_id", _secret_digest("found").alias("d")).select("doc_id", "d.*")
+    return found.select("doc_id", digest("found").alias("d")).select("doc_id", "d.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 ORACLE_SQL = {
     "op6_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src, doc_id % 64 AS salt,
+  SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src, doc_id % 16 AS salt,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT none, src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1, 2),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY none, src) - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
@@ -85,10 +85,14 @@ t AS (SELECT none, src, source_size, CASE WHEN full_ OR rest_weight = 0 THEN CAS
       FROM (SELECT *, total - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (), 0) AS rest,
                    sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER () AS rest_weight FROM f)),
 r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each,
-             row_number() OVER (PARTITION BY d.none, d.src ORDER BY length(bin(size)), salt, size, doc_id) - 1 AS rank
-      FROM d JOIN t USING (none, src))
-SELECT doc_id, size, source_size, target,
-       size * CAST(floor((rank + 1) * each + {offset}) - floor(rank * each + {offset}) AS BIGINT) AS taken FROM r
+             row_number() OVER (PARTITION BY d.none, d.src
+               ORDER BY length(bin(size)), size * 128 // CAST(2 ^ length(bin(size)) AS BIGINT), salt, size, doc_id) - 1 AS rank
+      FROM d JOIN t USING (none, src)),
+c AS (SELECT *, CAST(floor((rank + 1) * each + o.x) - floor(rank * each + o.x) AS BIGINT) AS copies
+      FROM r, (SELECT unnest([{offsets}]) AS o)),
+g AS (SELECT none, src, o, row_number() OVER (PARTITION BY none, src ORDER BY abs(sum(size * copies) - target), o.i) AS best
+      FROM c GROUP BY none, src, target, o)
+SELECT doc_id, size, source_size, target, size * copies AS taken FROM c JOIN g USING (none, src, o) WHERE best = 1
 """,
     "op8_sharding": None,
     "op10_warc": """
@@ -102,7 +106,5 @@ SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, d AS payload
 
 
 def oracle_sql() -> dict[str, str]:
-    import random
-
-    offset = random.Random(6).random()
-    return {k: sql.replace("{offset}", f"CAST({offset!r} AS DOUBLE)") for k, sql in ORACLE_SQL.items() if sql}
+    offsets = ", ".join(f"{{'i': {i}, 'x': CAST({x!r} AS DOUBLE)}}" for i, x in enumerate(mixing.offsets(6)))
+    return {k: sql.replace("{offsets}", offsets) for k, sql in ORACLE_SQL.items() if sql}
