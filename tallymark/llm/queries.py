@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets_scan, sharding, token_counts, warc
+from . import decontaminate, mixing, quality, secrets_scan, sharding, token_counts, warc
 from .common import written
 
 
@@ -16,6 +16,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    out = decontaminate.marked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_tokens."""
     return token_counts.token_counts(documents(spark, sf_dir))
@@ -69,6 +76,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 ORACLE_SQL = {
+    "op2_decontaminate": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+iw AS (SELECT item_id, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i, w FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, list_slice(w, i + 1, i + 10) AS win FROM iw),
+sizes AS (SELECT DISTINCT len(win) AS n FROM win),
+dp AS (SELECT r, unnest(range(0, len(w))) AS p, w FROM d WHERE len(w) > 0),
+dw AS (SELECT r, p, n, list_slice(w, p + 1, p + n) AS win FROM dp, sizes WHERE p + n <= len(w)),
+hits AS (SELECT r, p, n, item_id FROM dw JOIN win USING (win)),
+hp AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
+hi AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hp USING (r) LEFT JOIN hi USING (r)
+""",
     "op6_mixing": r"""
 WITH d AS (
   SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src, doc_id % 16 AS salt,
