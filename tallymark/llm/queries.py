@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, secrets_scan, sharding, token_counts, warc
+from . import decontaminate, mixing, pii, quality, secrets_scan, sharding, token_counts, warc
 from .common import written
 
 
@@ -65,6 +65,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", none)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    found = pii.with_spans(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.expr(f"CAST(size(filter(base, s -> s.no = {no})) AS BIGINT)").alias(f"n_{k}") for no, (k, _, _) in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
     archives = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
