@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, pii, quality, secrets_scan, sharding, token_counts, warc
+from . import decontaminate, mixing, near_dedup, pii, quality, secrets_scan, sharding, token_counts, warc
 from .common import written
 
 
@@ -23,6 +23,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, class_size."""
+    return near_dedup.classes(documents(spark, sf_dir)).drop("_node")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_tokens."""
     return token_counts.token_counts(documents(spark, sf_dir))
