@@ -28,6 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
     out = steps.pop()
     while steps:
         step = steps.pop()
-        later = out.withColumnsRenamed({"node": "up", "up": "root"})
+        later = out.select(F.col("node").alias("up"), F.col("up").alias("root"))
         out = written(step.join(later, "up", "left").select("node", F.coalesce("root", "up").alias("up")), "steps")
     return out.withColumnRenamed("up", "root")
