@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_dedup, pii, quality, secrets_scan, sharding, token_counts, warc
+from . import decontaminate, mixing, near_dedup, pii, quality, secrets_scan, sharding, suffix_dedup, token_counts, warc
 from .common import written
 
 
@@ -16,6 +16,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    out = suffix_dedup.without_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     out = decontaminate.marked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
