@@ -69,11 +69,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = sharding.assign_shards(docs)
-    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))  # here, so that no text is shuffled
+    out = sharding.assign_shards(documents(spark, sf_dir).select("doc_id", "text", crc.alias("text_crc32")))
     none = F.lit(None).cast("int").alias("grown_shard")
-    return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", none)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
