@@ -111,8 +111,8 @@ class BinTable:
         """WOE of 6 digits over all bins, IV from the rounded WOE."""
         bad, good = sum(b.bad for b in self.bins), sum(b.good for b in self.bins)
         for b, (woe, _) in zip(self.bins, K.woe_iv([[0, b.bad, b.good] for b in self.bins]), strict=True):
-            b.woe = round(woe, 6)
-            b.iv = round((b.bad / bad - b.good / good) * b.woe, 6) if bad and good else 0.0
+            b.woe = round(woe, 6) + 0.0  # no negative zero
+            b.iv = round((b.bad / bad - b.good / good) * b.woe, 6) + 0.0 if bad and good else 0.0
         return self
 
     def rows(self) -> list[tuple]:
