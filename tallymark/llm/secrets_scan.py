@@ -87,9 +87,10 @@ def scanned(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFra
             rows = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(x, keywords)] for x in frame["text"]]
             yield pd.DataFrame({"id": frame["id"], "found": rows})
 
-    own = docs.select(F.col(id_).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    schema = f"id {dict(docs.dtypes)[id_]}, found array<struct<kind: string, start: long, end: long>>"
-    return own.mapInPandas(scan, schema).withColumnRenamed("id", id_)
+    own = docs.select(F.col(id_).cast("string").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    schema = "id string, found array<struct<kind: string, start: long, end: long>>"
+    out = own.mapInPandas(scan, schema)  # ids as text: pandas would make floats of integers and nulls
+    return out.select(F.col("id").cast(docs.schema[id_].dataType).alias(id_), *out.columns[1:])
 
 
 def span_list(found: list[tuple[str, int, int]]) -> str:

@@ -117,6 +117,7 @@ def token_counts(docs: DataFrame, text: str = "text", id_: str = "doc_id", vocab
             out.insert(0, "id", frame["id"])
             yield out
 
-    own = docs.select(F.col(id_).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    schema = f"id {dict(docs.dtypes)[id_]}, n_words long, n_tokens long"
-    return own.mapInPandas(count, schema).withColumnRenamed("id", id_)
+    own = docs.select(F.col(id_).cast("string").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    schema = "id string, n_words long, n_tokens long"
+    out = own.mapInPandas(count, schema)  # ids as text: pandas would make floats of integers and nulls
+    return out.select(F.col("id").cast(docs.schema[id_].dataType).alias(id_), *out.columns[1:])

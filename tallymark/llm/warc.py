@@ -26,6 +26,7 @@ PIECE, LEVEL, LEAST_REVISIT = 1 << 16, 6, 100
 VERSION = b"WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 """A fixed date: the same rows give the same archive."""
+URI_CHARACTERS = ":/?#[]@!$&'()*+,;=%-._~"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -57,11 +58,14 @@ def record_bytes(row: dict) -> bytes:
     """A gzip member. row: page_id, url, html (bytes), digest, refers_to (None for a response)."""
     revisit = row["refers_to"] is not None
     body = b"" if revisit else row["html"]
+    url = row["url"]
+    address = None if url is None else quote(url, safe=URI_CHARACTERS)
     head = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": f"<urn:tallymark:page:{'' if row['page_id'] is None else row['page_id']}>",
         "WARC-Date": DATE,
-        "WARC-Target-URI": quote(row["url"] or "", safe=":/?#[]@!$&'()*+,;=%-._~") if row["url"] is not None else None,
+        "WARC-Target-URI": address,
+        "X-Original-URI": None if address == url else quote(url, safe=""),  # where the address had to be escaped
         "WARC-Payload-Digest": f"sha256:{row['digest']}",
         "X-Payload-Length": len(row["html"]),
         "WARC-Refers-To": f"<urn:tallymark:page:{row['refers_to']}>" if revisit else None,
@@ -174,14 +178,16 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     own = own.withColumn("digest", F.sha2("html", 256))
     first = own.where(F.length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     joined = own.join(first.where("n > 1").drop("n"), "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    refers_to = F.when(F.col("page_id") > F.col("first"), F.col("first"))
+    return joined.select("page_id", "url", "html", "digest", refers_to.alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html). Returns path and records of each archive, already computed."""
     spark = pages.sparkSession
     folder = folder or shared_path(spark, "warc")
-    return with_revisits(pages).mapInPandas(_write(folder), "path string, records long").checkpoint()
+    rows = with_revisits(pages).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # pandas would make floats of integers and nulls
+    return rows.mapInPandas(_write(folder), "path string, records long").checkpoint()
 
 
 def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
@@ -193,9 +199,9 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
                 rows = []
                 with opened(path, "rb") as file:
                     for fields, _ in read_records(file, keep=False):
-                        url = fields.get("WARC-Target-URI")
+                        url = unquote(fields["X-Original-URI"]) if "X-Original-URI" in fields else fields.get("WARC-Target-URI")
                         rows.append((
-                            page_number(fields["WARC-Record-ID"]), None if url is None else unquote(url), int(fields["X-Payload-Length"]),
+                            page_number(fields["WARC-Record-ID"]), url, int(fields["X-Payload-Length"]),
                             fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"], page_number(fields.get("WARC-Refers-To")),
                         ))
                 if len(rows) != records:
