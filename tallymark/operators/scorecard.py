@@ -294,7 +294,7 @@ class Selector:
                 names = self.perturb(names, pool)
             names = self.trimmed(names)
         _, support, perf = best
-        notes = []
+        support, notes = support or list(self.force_in), []
         if self.s.force_fill and len(support) < self.s.n_min:
             for c in pool:
                 if len(support) < self.s.n_min and c not in support and self.acceptable([*support, c]):
