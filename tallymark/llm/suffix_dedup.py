@@ -29,7 +29,7 @@ from .runs import Entry, decode, encode, merge
 from .shingles import BLOCK_BYTES, U64, _powers, mix
 
 LENGTH, GRAM = 100, 32
-RUN_ENTRIES, GROUP_LIMIT = 200_000, 50_000
+RUN_ENTRIES, GROUP_LIMIT = 60_000, 50_000
 KNOWN_HASHES, BROADCAST_SPANS = 4_000_000, 400_000
 SAMPLED, PER_TASK, RANGE_ENTRIES = 16_384, 256, 250_000
 NO_ID = -(1 << 63)
