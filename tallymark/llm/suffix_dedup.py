@@ -30,7 +30,7 @@ from .shingles import BLOCK_BYTES, U64, _powers, mix
 
 LENGTH, GRAM = 100, 32
 RUN_ENTRIES, GROUP_LIMIT = 60_000, 50_000
-KNOWN_HASHES, BROADCAST_SPANS = 4_000_000, 400_000
+KNOWN_HASHES = 4_000_000
 SAMPLED, PER_TASK, RANGE_ENTRIES = 16_384, 256, 250_000
 NO_ID = -(1 << 63)
 FOUND = "doc long, row long, start long, end long, h1 long, h2 long"
@@ -317,8 +317,6 @@ def without_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", **
     """
     own = keyed(docs, text, id_)
     spans = repeated_spans(own, **options)
-    if (spans.agg(F.sum(F.size("spans") + 4)).first()[0] or 0) <= BROADCAST_SPANS:
-        spans = F.broadcast(spans)
     out = own.join(spans, ["doc", "row"], "left").select("doc", "text", "spans")
     out = out.mapInPandas(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.nullif("doc", F.lit(NO_ID)).alias(id_), "n_bytes", "n_removed", "n_spans", "kept")
