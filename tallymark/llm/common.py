@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-"""A word of the space-separated kind."""
+SPACES = r"[\x20\x09-\x0D]+"
+"""What stands between words of the space-separated kind."""
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,4 +46,4 @@ def long_array(values: list[int]) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")).cast("long")
