@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from ..functions.expressions import bin_index, is_numeric, long_form, usable, without_nan
 
 MAX_CATEGORIES, CATEGORY_SHARE = 20, 0.05
+DIRECT_ROWS, SKETCH_ACCURACY = 5_000_000, 10_000
+"""Quantiles of more values than that are bracketed by a sketch of that accuracy first."""
 SPECIAL_VALUES = (-999.0, -998.0, -1.0, 999999999.0)  # fixed values
 
 
@@ -126,15 +128,53 @@ def target_by(df: DataFrame, period: Column, target: str) -> DataFrame:
     return df.groupBy(period.alias("period")).agg(F.count(target).alias("n"), F.round(F.avg(F.col(target).cast("double")), 4).alias("bad_rate"))
 
 
-def quantile_edges(df: DataFrame, columns: list[str], n_bins: int | dict[str, int], specials: dict[str, list[float]] | None = None) -> dict[str, list[float]]:
-    """Distinct quantiles (linear interpolation) of each column at 0, 1/n, ..., 1, NULLs and special values left out; one pass."""
-    exprs = []
-    for c in columns:
-        n = n_bins[c] if isinstance(n_bins, dict) else n_bins
-        probs = F.array(*(F.lit(i / n) for i in range(n + 1)))
-        exprs.append(F.percentile(usable(F.col(c), (specials or {}).get(c, ())), probs).alias(c))
+def quantile_edges(df: DataFrame, columns: list[str], n_bins: int | dict[str, int], specials: dict[str, list[float]] | None = None, direct_rows: int = DIRECT_ROWS) -> dict[str, list[float]]:
+    """Distinct quantiles (linear interpolation) of each column at 0, 1/n, ..., 1, NULLs and special values left out.
+
+    Up to direct_rows values a column, all columns take one pass of percentile(), whose state is the distinct values. Beyond, a
+    bounded sketch brackets each quantile first, and only values within the brackets are ranked: the state stays bounded, the result exact.
+    """
+    if not columns:
+        return {}
+    x = {c: usable(F.col(c), (specials or {}).get(c, ())) for c in columns}
+    probs = {c: [i / n for i in range(n + 1)] for c in columns for n in [n_bins[c] if isinstance(n_bins, dict) else n_bins]}
+    sizes = df.agg(*(F.count(x[c]).alias(c) for c in columns)).first()
+    large = [c for c in columns if sizes[c] > direct_rows]
+    exprs = [F.percentile(x[c], F.array(*map(F.lit, probs[c]))).alias(c) for c in columns if c not in large]
     row = df.agg(*exprs).first() if exprs else {}
-    return {c: sorted(set(row[c] or [])) for c in columns}
+    found = {c: row[c] or [] for c in columns if c not in large}
+    found |= {c: bracketed_quantiles(df, x[c], sizes[c], probs[c], direct_rows) for c in large}
+    return {c: sorted(set(found[c])) for c in columns}
+
+
+def bracketed_quantiles(df: DataFrame, x: Column, n: int, probs: list[float], direct_rows: int = DIRECT_ROWS) -> list[float]:
+    """Quantiles of n values by narrowing brackets until each holds at most direct_rows values; about three passes at any size."""
+    brackets = [(p * (n - 1), float("-inf"), float("inf"), n) for p in probs]  # place in the order, bracket, values in it
+    below = [0] * len(probs)
+    while any(m > direct_rows for *_, m in brackets):
+        margin = 3 / SKETCH_ACCURACY
+        exprs = []
+        for (place, lo, hi, m), k in zip(brackets, below, strict=True):
+            at = (place - k) / max(1, m - 1)
+            ends = [F.lit(max(0.0, at - margin)), F.lit(min(1.0, at + margin))]
+            exprs.append(F.percentile_approx(F.when(x.between(lo, hi), x), F.array(*ends), F.lit(SKETCH_ACCURACY)) if m > direct_rows else F.array(F.lit(lo), F.lit(hi)))
+        ends = [tuple(e) for e in df.agg(*(e.alias(f"_{i}") for i, e in enumerate(exprs))).first()]
+        counted = df.agg(*(c for lo, hi in ends for c in (F.count_if(x < lo), F.count_if(x.between(lo, hi))))).first()
+        narrowed = False
+        for i, (lo, hi) in enumerate(ends):
+            place, m = brackets[i][0], brackets[i][3]
+            k, held = counted[2 * i], counted[2 * i + 1]
+            if m > direct_rows and k <= place and (place <= k + held - 1) and (held < m or lo == hi):
+                narrowed |= held < m
+                brackets[i], below[i] = (place, lo, hi, 1 if lo == hi else held), k
+                if lo == hi:  # one value fills the bracket
+                    brackets[i] = (float(k), lo, hi, 1)
+        if not narrowed and any(m > direct_rows for *_, m in brackets):
+            break
+    exprs = []
+    for (place, lo, hi, m), k in zip(brackets, below, strict=True):
+        exprs.append(F.lit(lo) if lo == hi else F.percentile(F.when(x.between(lo, hi), x), F.lit((place - k) / max(1, m - 1))))
+    return list(df.agg(*(e.alias(f"_{i}") for i, e in enumerate(exprs))).first())
 
 
 def quick_iv(df: DataFrame, target: str, columns: list[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:

@@ -34,6 +34,17 @@ def test_tables_count_every_row(df, tables):
     assert tables["qty"].bins[0].label.startswith("(-inf, ")
 
 
+def test_bracketed_quantiles_equal_direct_ones(spark, df):
+    import numpy as np
+
+    tied = spark.range(4000).select((F.pmod(F.xxhash64("id"), F.lit(997)) / 7).alias("x"), F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id").cast("double")).alias("y"))
+    for frame, columns in ((df, ["qty", "price"]), (tied, ["x", "y"])):
+        one = profile.quantile_edges(frame, columns, 10)
+        two = profile.quantile_edges(frame, columns, 10, direct_rows=50)
+        for c in columns:
+            assert np.allclose(one[c], two[c]), c
+
+
 def test_methods_and_bad_settings(df):
     for method in binning.METHODS:
         t = binning.fit(df, "bad", ["qty", "price"], Settings(method=method, n_bins=6, special_values=SPECIALS))["price"]
