@@ -74,21 +74,21 @@ def with_copies(docs: DataFrame, text: str = "text", id_: str = "doc_id", source
         "size": n_words(F.col(text)),
         "_none": F.col(source).isNull(),
         "_source": F.coalesce(F.col(source), F.lit("")),
-        "_salt": F.pmod(F.coalesce(F.col(id_), F.lit(0)), F.lit(SALTS)).cast("int"),
-    }).withColumn("_class", F.length(F.bin("size")))
-    keyed = keyed.withColumn("_part", F.expr(f"(size * {PARTS}) div shiftleft(1L, _class)")).drop("source_size", "target", "copies")
-    cells = keyed.groupBy(*CELL).agg(F.count("*").alias("_rows"), F.sum("size").alias("_words"))
+        "_salt": F.coalesce(F.pmod(F.col(id_), F.lit(SALTS)).cast("int"), F.lit(0)),
+    }).withColumn("_class", F.coalesce(F.length(F.bin("size")), F.lit(0)))  # never null: else joins would look for nulls first, and count words again for that
+    keyed = keyed.withColumn("_part", F.expr(f"coalesce((size * {PARTS}) div shiftleft(1L, _class), 0L)")).drop("source_size", "target", "copies")
+    cells = written(keyed.groupBy(*CELL).agg(F.count("*").alias("_rows"), F.sum("size").alias("_words")), "cells")
     targets = source_targets(cells.groupBy("_none", "_source").agg(F.sum("_words").alias("source_size")))
     in_source = Window.partitionBy("_none", "_source").orderBy("_class", "_part", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_rows").over(in_source), F.lit(0))).join(targets, ["_none", "_source"])
-    cells = written(cells.select(*CELL, "_before", "source_size", "target"), "cells")
+    cells = cells.select(*CELL, "_before", "source_size", "target")
     ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*CELL).orderBy("size", id_)) - 1)
 
     tried = offsets(seed)
     sums = [F.sum(F.col("size") * copies(F.lit(o))).alias(f"_{i}") for i, o in enumerate(tried)]
     taken = ranked.select(*CELL, "size", "_rank").join(cells, CELL).groupBy("_none", "_source", "target").agg(*sums)
     nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_{i}") - F.col("target")), F.lit(i), F.lit(o).alias("offset")) for i, o in enumerate(tried))))
-    best = taken.select("_none", "_source", nearest["offset"].alias("_offset"))
+    best = written(taken.select("_none", "_source", nearest["offset"].alias("_offset")), "offsets")
     cells = cells.join(best, ["_none", "_source"])
     return ranked.join(cells, CELL).withColumn("copies", copies(F.col("_offset"))).drop(*CELL, "_before", "_rank", "_offset")
 
