@@ -20,9 +20,9 @@ def edited(r, own, n):
 
 
 def jaccard(a, b):
-    grams = lambda t: Counter(zip(*(t.split()[i:] for i in range(5)))) if len(t.split()) >= 5 else Counter([tuple(t.split())])
+    grams = lambda t: set(zip(*(t.split()[i:] for i in range(5)))) if len(t.split()) >= 5 else {tuple(t.split())}
     x, y = grams(a), grams(b)
-    return sum((x & y).values()) / max(1, sum((x | y).values()))
+    return len(x & y) / len(x | y)
 
 
 def brute(texts):
@@ -73,6 +73,34 @@ def test_large_group_in_chunks(spark, monkeypatch):
     assert {x.class_id for x in near_dedup.classes(docs).collect()} == {0}
 
 
+def test_a_repeated_line_does_not_make_texts_alike(spark):
+    r = random.Random(9)
+    docs = [(i, " ".join(words(r, 120)) + "\nIs onhe." * 300) for i in range(12)]
+    assert len({x.class_id for x in near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}) == 12
+
+
+def test_similarity_is_of_sums_of_minima():
+    r = random.Random(11)
+    for _ in range(40):
+        pool = [np.uint64(r.getrandbits(63)) for _ in range(12)]
+        make = lambda: {h: r.choice([1, 1, 2, 3, 9]) for h in r.sample(pool, 11)}  # noqa: B023, E731
+        a, b = make(), make()
+        weights = np.ones(1 << near_dedup.SKETCH_BITS, np.float32)
+        f = lambda n: 1 + np.log(n) if n else 0.0
+        want = sum(min(f(a.get(h, 0)), f(b.get(h, 0))) for h in pool) / sum(max(f(a.get(h, 0)), f(b.get(h, 0))) for h in pool)
+        plain = len(a.keys() & b.keys()) / len(a.keys() | b.keys())
+        if min(abs(want - 0.8), abs(plain - 0.8)) < 0.001:
+            continue
+        block = shingles.Block([0, 1], np.repeat([0, 1], 11), np.array(sorted(a) + sorted(b), np.uint64), np.array([a[h] for h in sorted(a)] + [b[h] for h in sorted(b)]))
+        near_dedup_blocks = near_dedup.blocks
+        near_dedup.blocks = lambda texts, block=block: [block]
+        try:
+            members = near_dedup._members(["", ""], weights)
+        finally:
+            near_dedup.blocks = near_dedup_blocks
+        assert bool(near_dedup.similar(members, 0)) == (want >= 0.8 or plain >= 0.8)
+
+
 def test_empty_table_and_null_ids(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.classes(docs).collect() == []
