@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.expressions import bin_index, long_form, usable, without_nan
-from .profile import MAX_CATEGORIES, quantile_edges, require_unique, roles
+from .profile import MAX_CATEGORIES, distinct_up_to, quantile_edges, require_unique, roles
 
 METHODS = ("chi", "frequency", "distance", "tree")
 CATEGORY_MODES = ("woe_per_value", "badrate_merge", "freq_merge")
@@ -168,7 +168,7 @@ def _fit_levels(name: str, rows: list[tuple[str, int, int]], s: Settings) -> Bin
 def fit(df: DataFrame, target: str, columns: list[str], settings: Settings | None = None, config: dict[str, dict] | None = None) -> dict[str, BinTable]:
     """variable -> table. config: settings by variable, over the common ones. Variables with too few values are left out, with a warning.
 
-    Passes over df: one for roles, one for quantiles (numeric variables), one for histograms; each with one shuffle of summed rows.
+    Passes over df: for roles, distinct counts and quantiles (aggregates of bounded state), and for histograms (a shuffle of summed rows).
     """
     require_unique(columns, "features")
     df = without_nan(df)
@@ -182,23 +182,19 @@ def fit(df: DataFrame, target: str, columns: list[str], settings: Settings | Non
     excluded = {c: [*own[c].special_values, *own[c].skip_values] for c in columns}
     clean = {c: usable(F.col(c), excluded[c]) for c in numeric}
 
-    distinct = {}
-    if numeric:
-        distinct = df.agg(*(F.count_distinct(clean[c]).alias(c) for c in numeric), *(F.min(clean[c]).alias(f"{c}:lo") for c in numeric), *(F.max(clean[c]).alias(f"{c}:hi") for c in numeric)).first()
-    wanted = {}
-    for c in numeric:
-        if own[c].manual_cutoffs is not None or own[c].method == "distance":
-            continue
-        limit = {"chi": PREBINS, "tree": TREE_PREBINS}.get(own[c].method)
-        if limit is None or distinct[c] > limit:
-            wanted[c] = own[c].n_bins if limit is None else limit
+    by_width = [c for c in numeric if own[c].manual_cutoffs is None and own[c].method == "distance"]
+    ranges = df.agg(*(F.struct(F.min(clean[c]), F.max(clean[c])).alias(c) for c in by_width)).first() if by_width else {}
+    limits = {c: {"chi": PREBINS, "tree": TREE_PREBINS}[own[c].method] for c in numeric if own[c].manual_cutoffs is None and own[c].method in ("chi", "tree")}
+    distinct = distinct_up_to(df, {c: clean[c] for c in limits}, limits)
+    wanted = {c: own[c].n_bins for c in numeric if own[c].manual_cutoffs is None and own[c].method == "frequency"}
+    wanted |= {c: limit for c, limit in limits.items() if distinct[c][1] > limit}
     edges = quantile_edges(df, list(wanted), wanted, excluded)
     cuts: dict[str, list[float] | None] = {}
     for c in numeric:
         if own[c].manual_cutoffs is not None:
             cuts[c] = sorted(float(x) for x in own[c].manual_cutoffs)
         elif own[c].method == "distance":
-            lo, hi = distinct[f"{c}:lo"], distinct[f"{c}:hi"]
+            lo, hi = ranges[c]
             step = (hi - lo) / own[c].n_bins if lo is not None else 0
             cuts[c] = sorted({round(lo + step * i, 12) for i in range(1, own[c].n_bins)}) if step > 0 else []
         else:

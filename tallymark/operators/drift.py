@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bin_index, long_form, psi_term, usable, without_nan
-from .profile import as_text, quantile_edges, roles, value_counts
+from .profile import as_text, distinct_up_to, quantile_edges, roles
 
 UNSEEN = "__unseen__"
 
@@ -24,8 +24,8 @@ def psi_table(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFram
     not have is one bin, and so are values outside its range. NULLs are left out."""
     train, test = without_nan(train), without_nan(test)
     own = roles(train, columns)
-    counts = {r[0]: r[1] for r in value_counts(train, columns).where("value IS NOT NULL").groupBy("variable").agg(F.count("*")).collect()}
-    levels = [c for c in columns if own[c] != "numeric" or counts.get(c, 0) <= 5]
+    counts = distinct_up_to(train, {c: F.col(c) for c in columns}, dict.fromkeys(columns, 5))
+    levels = [c for c in columns if own[c] != "numeric" or counts[c][1] <= 5]
     edges = quantile_edges(train, [c for c in columns if c not in levels], 10)
 
     def binned(df: DataFrame, side: int) -> DataFrame:
@@ -54,8 +54,8 @@ def stability(df: DataFrame, target: str, period: Column, columns: list[str], n_
         raise ValueError("stability needs two periods at least")
     own = roles(df, columns)
     base = df.where(F.col("_period") == F.lit(first))
-    few = {r[0]: r[1] for r in value_counts(base, columns).where("value IS NOT NULL").groupBy("variable").agg(F.count("*")).collect()}
-    binned = [c for c in columns if own[c] == "numeric" and few.get(c, 0) > n_bins]
+    few = distinct_up_to(base, {c: F.col(c) for c in columns}, dict.fromkeys(columns, n_bins))
+    binned = [c for c in columns if own[c] == "numeric" and few[c][1] > n_bins]
     edges = quantile_edges(base, binned, n_bins)
 
     def value(c: str) -> Column:

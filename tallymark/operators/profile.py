@@ -28,6 +28,20 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return long_form(df, as_text(df, columns), {}).groupBy("variable", "value").agg(F.count("*").alias("n"))
 
 
+def distinct_up_to(df: DataFrame, values: dict[str, Column], limits: dict[str, int]) -> dict[str, tuple[int, int]]:
+    """name -> (values that are not NULL, distinct ones), the latter exact up to the name's limit and else anything above it.
+
+    A sketch comes first, so that columns with many values are not shuffled to be counted; only those near their limit are.
+    """
+    if not values:
+        return {}
+    parts = [x for c, v in values.items() for x in (F.count(v).alias(f"n:{c}"), F.approx_count_distinct(v, 0.02).alias(f"d:{c}"))]
+    row = df.agg(*parts).first()
+    near = [c for c in values if row[f"d:{c}"] <= 2 * limits[c] + 16]
+    exact = df.agg(*(F.count_distinct(values[c]).alias(c) for c in near)).first() if near else {}
+    return {c: (row[f"n:{c}"], exact[c] if c in near else row[f"d:{c}"]) for c in values}
+
+
 def is_categorical(df: DataFrame, column: str, n: int, distinct: int, max_categories: int = MAX_CATEGORIES) -> bool:
     """Booleans and text are categorical, and so are numbers with few values for their rows."""
     kind = df.schema[column].dataType
@@ -37,10 +51,9 @@ def is_categorical(df: DataFrame, column: str, n: int, distinct: int, max_catego
 
 
 def roles(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, str]:
-    """column -> "categorical", "numeric" or "other" (such as times with many values). Exact distinct counts; one small row a column."""
+    """column -> "categorical", "numeric" or "other" (such as times with many values)."""
     require_unique(columns)
-    rows = value_counts(df, columns).where("value IS NOT NULL").groupBy("variable").agg(F.sum("n"), F.count("*")).collect()
-    counts = {v: (n, d) for v, n, d in rows}
+    counts = distinct_up_to(df, {c: F.col(c) for c in columns}, dict.fromkeys(columns, max_categories))
     out = {}
     for c in columns:
         n, distinct = counts.get(c, (0, 0))
@@ -183,9 +196,8 @@ def quick_iv(df: DataFrame, target: str, columns: list[str], max_categories: int
     Only bins with both classes count, without caps; 0 for one class or one bin. Rows with a NULL on either side are left out.
     """
     df = without_nan(df).where(F.col(target).isNotNull())
-    counts = value_counts(df, columns).where("value IS NOT NULL").groupBy("variable").agg(F.sum("n"), F.count("*")).collect()
-    sizes = {v: (n, d) for v, n, d in counts}
-    levels = [c for c in columns if is_categorical(df, c, *sizes.get(c, (0, 0)), max_categories) or sizes.get(c, (0, 0))[1] <= 5]
+    sizes = distinct_up_to(df, {c: F.col(c) for c in columns}, dict.fromkeys(columns, max(10, max_categories)))
+    levels = [c for c in columns if is_categorical(df, c, *sizes[c], max_categories) or sizes[c][1] <= 5]
     binned = [c for c in columns if c not in levels]
     edges = quantile_edges(df, binned, {c: min(10, max(2, sizes[c][1])) for c in binned})
     values = as_text(df, levels) | {c: bin_index(F.col(c).cast("double"), edges[c][1:-1]).cast("string") for c in binned}

@@ -12,7 +12,7 @@ from ..functions.expressions import bin_index, long_form, without_nan
 from ..functions.kernels import INF, tree_cuts
 from ..functions.logit import ks_auc
 from .drift import psi_table
-from .profile import quantile_edges, quick_iv, roles, value_counts
+from .profile import distinct_up_to, quantile_edges, quick_iv, roles, value_counts
 
 ESTIMATORS = {"dt": "dt", "tree": "dt", "decisiontree": "dt", "xgb": "xgb", "xgboost": "xgb", "lgb": "lgb", "lightgbm": "lgb"}
 TREE_DEPTH, LEAF, MIN_ROWS, PREBINS = 3, 5, 10, 1024
@@ -37,8 +37,8 @@ def single_feature_scores(df: DataFrame, target: str, columns: list[str]) -> dic
 
     A column with more than PREBINS values is cut at as many quantiles first. All histograms come from one pass.
     """
-    sizes = {r[0]: r[1] for r in value_counts(df, columns).where("value IS NOT NULL").groupBy("variable").agg(F.count("*")).collect()}
-    edges = quantile_edges(df, [c for c in columns if sizes.get(c, 0) > PREBINS], PREBINS)
+    sizes = distinct_up_to(df, {c: F.col(c) for c in columns}, dict.fromkeys(columns, PREBINS))
+    edges = quantile_edges(df, [c for c in columns if sizes[c][1] > PREBINS], PREBINS)
     x = {c: F.col(c).cast("double") for c in columns}
     key = {c: bin_index(x[c], edges[c][1:-1]).cast("double") if c in edges else x[c] for c in columns}
     cells = long_form(df.where(F.col(target).isNotNull()), {c: F.struct(key[c].alias("k"), x[c].alias("x")) for c in columns}, {"y": F.col(target)})
