@@ -2,8 +2,9 @@
 
 Each document of a source is expected in target / source size copies. In a fixed order within the source the expected copies
 are prefix-summed, one random offset is added, and a document is emitted once per integer boundary that its interval crosses.
-The order goes by size, so that copies fall evenly on short and long documents and the words taken come near the target. A
-source is cut into cells of close sizes and a salt of the id, ranked each by itself: no task ranks a whole source.
+The order is random but fixed: by a hash of the id. Some offsets are tried, and since each takes other documents, one of them comes near
+the target in words, even where a few long documents hold much of a source. A source is cut into cells by the first digits of
+the hash, ranked each by itself: no task ranks a whole source.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import n_words, written
 
-WEIGHTS, MAX_COPIES, OFFSETS = (1, 2, 3), 3, 16
-SALTS, PARTS = 16, 128
-"""A source's cells: by the binary digits of the size, by its leading digits, and by the id."""
-CELL = ["_none", "_source", "_class", "_part", "_salt"]
+WEIGHTS, MAX_COPIES, OFFSETS = (1, 2, 3), 3, 64
+DIGITS = 3
+"""Hexadecimal digits of the hash that make a cell."""
+CELL = ["_none", "_source", "_cell"]
 
 
 def offsets(seed: int) -> list[float]:
@@ -68,21 +69,21 @@ def with_copies(docs: DataFrame, text: str = "text", id_: str = "doc_id", source
 
     A null source is a source of its own, the last; null texts have size 0; a document that occurs twice is two documents; an
     empty table gives an empty result. copies is at most MAX_COPIES. Of OFFSETS random offsets each source gets the one
-    whose words come nearest its target. Reruns agree. Ids are integers.
+    whose words come nearest its target. Reruns agree.
     """
     keyed = docs.withColumns({
         "size": n_words(F.col(text)),
         "_none": F.col(source).isNull(),
         "_source": F.coalesce(F.col(source), F.lit("")),
-        "_salt": F.coalesce(F.pmod(F.col(id_), F.lit(SALTS)).cast("int"), F.lit(0)),
-    }).withColumn("_class", F.coalesce(F.length(F.bin("size")), F.lit(0)))  # never null: else joins would look for nulls first, and count words again for that
-    keyed = keyed.withColumn("_part", F.expr(f"coalesce((size * {PARTS}) div shiftleft(1L, _class), 0L)")).drop("source_size", "target", "copies")
+        "_hash": F.md5(F.coalesce(F.col(id_).cast("string"), F.lit(""))),
+    }).withColumn("_cell", F.coalesce(F.substring("_hash", 1, DIGITS), F.lit("")))  # never null: else joins would look for nulls first, and count words again for that
+    keyed = keyed.drop("source_size", "target", "copies")
     cells = written(keyed.groupBy(*CELL).agg(F.count("*").alias("_rows"), F.sum("size").alias("_words")), "cells")
     targets = source_targets(cells.groupBy("_none", "_source").agg(F.sum("_words").alias("source_size")))
-    in_source = Window.partitionBy("_none", "_source").orderBy("_class", "_part", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    in_source = Window.partitionBy("_none", "_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_rows").over(in_source), F.lit(0))).join(targets, ["_none", "_source"])
     cells = cells.select(*CELL, "_before", "source_size", "target")
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*CELL).orderBy("size", id_)) - 1)
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy(*CELL).orderBy("_hash", "size")) - 1)
 
     tried = offsets(seed)
     sums = [F.sum(F.col("size") * copies(F.lit(o))).alias(f"_{i}") for i, o in enumerate(tried)]
@@ -90,7 +91,7 @@ def with_copies(docs: DataFrame, text: str = "text", id_: str = "doc_id", source
     nearest = F.array_min(F.array(*(F.struct(F.abs(F.col(f"_{i}") - F.col("target")), F.lit(i), F.lit(o).alias("offset")) for i, o in enumerate(tried))))
     best = written(taken.select("_none", "_source", nearest["offset"].alias("_offset")), "offsets")
     cells = cells.join(best, ["_none", "_source"])
-    return ranked.join(cells, CELL).withColumn("copies", copies(F.col("_offset"))).drop(*CELL, "_before", "_rank", "_offset")
+    return ranked.join(cells, CELL).withColumn("copies", copies(F.col("_offset"))).drop(*CELL, "_hash", "_before", "_rank", "_offset")
 
 
 def mixed(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source", seed: int = 6) -> DataFrame:

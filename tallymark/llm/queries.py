@@ -110,7 +110,7 @@ FROM d LEFT JOIN hp USING (r) LEFT JOIN hi USING (r)
 """,
     "op6_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src, doc_id % 16 AS salt,
+  SELECT doc_id, source IS NULL AS none, coalesce(source, '') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS hash,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT none, src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1, 2),
 w AS (SELECT *, 1 + (row_number() OVER (ORDER BY none, src) - 1) % 3 AS weight, 3 * source_size AS cap FROM s),
@@ -124,8 +124,7 @@ t AS (SELECT none, src, source_size, CASE WHEN full_ OR rest_weight = 0 THEN CAS
       FROM (SELECT *, total - coalesce(sum(CASE WHEN full_ THEN cap END) OVER (), 0) AS rest,
                    sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER () AS rest_weight FROM f)),
 r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each,
-             row_number() OVER (PARTITION BY d.none, d.src
-               ORDER BY length(bin(size)), size * 128 // CAST(2 ^ length(bin(size)) AS BIGINT), salt, size, doc_id) - 1 AS rank
+             row_number() OVER (PARTITION BY d.none, d.src ORDER BY hash, size) - 1 AS rank
       FROM d JOIN t USING (none, src)),
 c AS (SELECT *, CAST(floor((rank + 1) * each + o.x) - floor(rank * each + o.x) AS BIGINT) AS copies
       FROM r, (SELECT unnest([{offsets}]) AS o)),
