@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from .kernels import WOE_ALL_BAD, WOE_FLOOR
 
 PSI_FLOOR = 1e-6
+MAX_CASES = 64
+"""Cuts that are searched by nested CASE, which is compiled; more by a binary search in an array."""
 
 
 def is_numeric(df: DataFrame, column: str) -> bool:
@@ -35,9 +37,24 @@ def bin_index(column: Column, cuts: list[float], right: bool = True) -> Column:
     """Number of cuts below the value (right: bins (lo, hi]) or at most the value (bins [lo, hi)); NULL for NULL."""
     if not cuts:
         return F.when(column.isNotNull(), F.lit(0))
-    array = F.array(*[F.lit(float(c)) for c in cuts])
-    inside = F.filter(array, lambda c: (c < column) if right else (c <= column))
-    return F.when(column.isNotNull(), F.size(inside))
+    if len(cuts) > MAX_CASES:  # binary search in a constant array
+        steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+        full = F.array(*(F.lit(float(c)) for c in [*cuts, *[float("inf")] * (2 * steps[0] - 1 - len(cuts))]))
+
+        def step(at: Column, by: Column) -> Column:
+            cut = F.element_at(full, at + by)
+            return at + F.when((cut < column) if right else (cut <= column), by).otherwise(F.lit(0))
+
+        return F.when(column.isNotNull(), F.least(F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step), F.lit(len(cuts))))
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        low = (column <= float(cuts[mid])) if right else (column < float(cuts[mid]))
+        return F.when(low, search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return F.when(column.isNotNull(), search(0, len(cuts)))
 
 
 def woe(bad: Column, good: Column, all_bad: Column, all_good: Column) -> Column:
