@@ -174,3 +174,28 @@ def test_counts_cover_all_documents(spark):
     docs = spark.createDataFrame([(i, "abcd" * i, "en") for i in range(5)], "doc_id long, text string, lang string").repartition(3)
     total = sum(r.n for r in quality.gram_counts(docs).collect())
     assert total == sum(4 * i for i in itertools.islice(itertools.count(), 5))
+
+
+def made_prose(seed, n):
+    r = random.Random(seed)
+    words = ["".join(r.choice("etaoins") + r.choice("hrdlu") for _ in range(r.randint(1, 3))) for _ in range(200)]
+    return [" ".join(r.choice(words) for _ in range(r.randint(60, 200))) for _ in range(n)]
+
+
+def test_copies_do_not_set_the_band(spark):
+    from tallymark.llm.common import written
+
+    prose = made_prose(5, 100)
+    for copies in (90, 400):  # nearly half of a language, and most of it
+        docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate([*prose, *prose[:1] * copies])], "doc_id long, text string, lang string").repartition(3)
+        rows = quality.judged(written(quality.measured(docs), "t")).collect()
+        assert len(rows) == 100 + copies
+        assert sum(x.kept for x in rows if x.doc_id < 100) >= 95
+        total = sum(x.n for x in quality.gram_counts(docs).collect())
+        assert total == sum(len(t) for t in prose)
+
+
+def test_no_spread_rejects_nothing(spark):
+    rows = [(i, i, "de", False, 1.0 if i else 1.2) for i in range(9)]
+    scores = spark.createDataFrame(rows, "doc_id long, text_key long, lang string, base_failed boolean, log_ppl double")
+    assert all(x.kept for x in quality.judged(scores).collect())
