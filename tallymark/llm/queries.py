@@ -64,7 +64,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_ppl, lang."""
     scores = written(quality.measured(documents(spark, sf_dir)), "quality")
-    return quality.judged(scores).drop("text_key", "ppl_from", "ppl_to")
+    return quality.judged(scores).drop("text_key", "short_log_ppl")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

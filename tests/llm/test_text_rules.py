@@ -199,3 +199,25 @@ def test_no_spread_rejects_nothing(spark):
     rows = [(i, i, "de", False, 1.0 if i else 1.2) for i in range(9)]
     scores = spark.createDataFrame(rows, "doc_id long, text_key long, lang string, base_failed boolean, log_ppl double")
     assert all(x.kept for x in quality.judged(scores).collect())
+
+
+def test_both_kinds_of_symbol_junk_are_rejected(spark):
+    from tallymark.llm.common import written
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = written(quality.judged(written(quality.measured(docs), "t")), "t").join(docs.select("doc_id", "text"), "doc_id").where("not base_failed").collect()
+    ends = [x for x in rows if len(re.findall(r"(?:\*\*\*|\$\$\$|&&&|###)(?:\s|$)", x.text)) > 0.05 * x.n_words]
+    piped = [x for x in rows if len(re.findall(r"\s\|(?=\s)", x.text)) > 0.05 * x.n_words]
+    for kind, least in ((ends, 0.9), (piped, 0.7)):
+        assert kind and sum(not x.kept for x in kind) >= least * len(kind), (len(ends), len(piped))
+
+
+def test_order_3_from_counts_of_order_4():
+    texts = [t.encode() for t in made_prose(6, 5)]
+    codes, n = np.unique(quality.gram_codes(texts)[0], return_counts=True)
+    found, counts = quality.suffix_counts(codes.astype(np.int64), n)
+    plain = Counter(b for t in texts for b in zip(b"\0\0" + t, b"\0" + t, t, strict=False))
+    assert dict(zip(found.tolist(), counts.tolist(), strict=True)) == {int.from_bytes(bytes(b), "big"): n for b, n in plain.items()}
+    model = quality.KneserNey(found, counts, quality.SHORT)
+    every = np.array([int.from_bytes(b"eto" + bytes([b]), "big") for b in range(256)], np.uint32)
+    assert math.isclose(np.exp(model.score(every)).sum(), 1.0, rel_tol=1e-6)
