@@ -221,3 +221,18 @@ def test_order_3_from_counts_of_order_4():
     model = quality.KneserNey(found, counts, quality.SHORT)
     every = np.array([int.from_bytes(b"eto" + bytes([b]), "big") for b in range(256)], np.uint32)
     assert math.isclose(np.exp(model.score(every)).sum(), 1.0, rel_tol=1e-6)
+
+
+def test_large_tables_are_whole(spark, monkeypatch):
+    r = random.Random(7)
+    texts = [*made_prose(7, 20), *("".join(r.choices("abcdefghijkß漢字", k=400)) for _ in range(20))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    found = []
+    for most in (quality.MAX_GRAMS, 2000):
+        monkeypatch.setattr(quality, "MAX_GRAMS", most)
+        found.append({x.doc_id: x.asDict() for x in quality.measured(docs).collect()})
+    assert len(found[0]) == len(found[1]) == len(texts)
+    for i, x in found[0].items():
+        for score in ("log_ppl", "short_log_ppl"):
+            if score in x:
+                assert math.isclose(x[score], found[1][i][score], rel_tol=1e-9)
