@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,16 +35,26 @@ class Logit:
         return self.params[0] + x @ self.params[1:]
 
 
+def information(x: np.ndarray, bad: np.ndarray, n: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The information matrix and the slope of the log likelihood at beta; both add up over parts of the rows."""
+    design = np.column_stack([np.ones(len(x)), x])
+    p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
+    return design.T @ (design * (n * p * (1 - p))[:, None]), design.T @ (bad - n * p)
+
+
 def fit_logit(names: list[str], x: np.ndarray, bad: np.ndarray, n: np.ndarray, rounds: int = 100) -> Logit | None:
     """Newton's method; x: one row per combination of values, bad of n rows in it. None if the information is singular."""
-    design = np.column_stack([np.ones(len(x)), x])
-    beta = np.zeros(design.shape[1])
+    return newton(names, lambda beta: information(x, bad, n, beta), rounds)
+
+
+def newton(names: list[str], sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], rounds: int = 100) -> Logit | None:
+    """Newton's method; sums: information and slope over all rows at given parameters."""
+    beta = np.zeros(len(names) + 1)
     converged = False
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -500, 500)))
-        info = design.T @ (design * (n * p * (1 - p))[:, None])
+        info, slope = sums(beta)
         try:
-            step = np.linalg.solve(info, design.T @ (bad - n * p))
+            step = np.linalg.solve(info, slope)
         except np.linalg.LinAlgError:
             return None
         if not np.isfinite(step).all():

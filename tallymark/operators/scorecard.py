@@ -1,7 +1,8 @@
 """Logistic regression on WOE columns, scaling to points, prediction; stepwise selection on the compressed sample.
 
 WOE columns have few values, so the sample is compressed to one row per combination with its counts: one shuffle, after which
-every fit is on the driver. Beyond COMBINATIONS rows the fit is Spark's own, on the compressed rows.
+every fit is on the driver. Beyond COMBINATIONS rows the fit is Spark's own, on the compressed rows; stepwise selection then
+raises an error, or with the setting `distributed` leaves the rows in Spark and takes some jobs for each trial.
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ import math
 import random
 import time
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.logit import Logit, fit_logit, ks_auc
+from ..functions.logit import Logit, fit_logit, information, ks_auc, newton
 from .binning import BinTable
 from .woe import woe_column
 
@@ -36,6 +38,98 @@ class Sample:
     def matrix(self, names: list[str]) -> np.ndarray:
         return self.x[:, [self.names.index(c) for c in names]]
 
+    def covariance(self) -> np.ndarray:
+        weight = self.n / self.n.sum()
+        centred = self.x - weight @ self.x
+        return (centred * weight[:, None]).T @ centred
+
+    def fit(self, names: list[str]) -> Logit | None:
+        return fit_logit(names, self.matrix(names), self.bad, self.n)
+
+    def ks_auc(self, model: Logit) -> tuple[float, float]:
+        return ks_auc(model.margin(self.matrix(model.names)), self.bad, self.n)
+
+
+class SpreadSample:
+    """A sample of any number of combinations, which stay in Spark. What a trial needs is compressed to its own columns;
+    if these are too many combinations as well, sums by partition and by range of margins go to the driver."""
+
+    def __init__(self, df: DataFrame, target: str, columns: list[str]) -> None:
+        self.names = columns
+        self.rows = combinations(df, target, columns).withColumns({c: F.col(c).cast("double") for c in ("_bad", "_n", *columns)}).persist()
+
+    def compressed(self, names: list[str]) -> Sample | DataFrame:
+        rows = self.rows.groupBy(*names).agg(F.sum("_bad").alias("_bad"), F.sum("_n").alias("_n"))
+        found = rows.limit(COMBINATIONS + 1).toArrow()
+        if found.num_rows > COMBINATIONS:
+            return self.rows.select(*names, "_bad", "_n")
+        x = np.column_stack([found[c].to_numpy() for c in names])
+        order = np.lexsort(x.T[::-1])
+        return Sample(names, x[order], found["_bad"].to_numpy()[order], found["_n"].to_numpy()[order])
+
+    def covariance(self) -> np.ndarray:
+        total, k = F.sum("_n"), len(self.names)
+        mean = list(self.rows.agg(*(F.sum(F.col(c) * F.col("_n")) / total for c in self.names)).first())
+        centred = [F.col(c) - F.lit(m) for c, m in zip(self.names, mean, strict=True)]
+        found = iter(self.rows.agg(*(F.sum(centred[i] * centred[j] * F.col("_n")) / total for i in range(k) for j in range(i, k))).first())
+        out = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                out[i, j] = out[j, i] = next(found)
+        return out
+
+    def fit(self, names: list[str]) -> Logit | None:
+        rows = self.compressed(names)
+        if isinstance(rows, Sample):
+            return rows.fit(names)
+
+        def sums(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for frame in frames:
+                    info, slope = information(frame[names].to_numpy(), frame["_bad"].to_numpy(), frame["_n"].to_numpy(), beta)
+                    yield pd.DataFrame({"v": [[*info.ravel(), *slope]]})
+
+            k = len(beta)
+            found = rows.mapInPandas(part, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+            v = np.array([r.v for r in found])
+            return v[: k * k].reshape(k, k), v[k * k :]
+
+        return newton(names, sums)
+
+    def ks_auc(self, model: Logit) -> tuple[float, float]:
+        rows = self.compressed(model.names)
+        if isinstance(rows, Sample):
+            return rows.ks_auc(model)
+        margin = F.lit(model.intercept)
+        for c, coef in model.coef.items():
+            margin = margin + F.lit(coef) * F.col(c)
+        rows = rows.groupBy(margin.alias("z")).agg(F.sum("_bad").alias("b"), F.sum("_n").alias("t"))
+        rows = rows.repartitionByRange("z").sortWithinPartitions("z").select("z", "b", "t", F.spark_partition_id().alias("part")).persist()
+        try:
+            ranges = rows.groupBy("part").agg(F.min("z").alias("z"), F.sum("b").alias("b"), F.sum("t").alias("t")).orderBy("z").collect()
+            bad, good = sum(r.b for r in ranges), sum(r.t - r.b for r in ranges)
+            if not bad or not good:
+                return 0.0, 0.5
+            before, b, g = {}, 0.0, 0.0
+            for r in ranges:
+                before[r.part] = b, g
+                b, g = b + r.b, g + r.t - r.b
+
+            def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                so_far = {}
+                for frame in frames:
+                    for p, own in frame.groupby("part", sort=False):
+                        b0, g0 = so_far.get(p, before[p])
+                        b, g = own["b"].to_numpy(), (own["t"] - own["b"]).to_numpy()
+                        cb, cg = b0 + np.cumsum(b), g0 + np.cumsum(g)
+                        so_far[p] = cb[-1], cg[-1]
+                        yield pd.DataFrame({"ks": [np.abs(cb / bad - cg / good).max()], "area": [(b * (cg - g / 2)).sum()]})
+
+            ks, area = rows.mapInPandas(part, "ks double, area double").agg(F.max("ks"), F.sum("area")).first()
+            return ks, area / (bad * good)
+        finally:
+            rows.unpersist()
+
 
 def combinations(df: DataFrame, target: str, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.sum(target).alias("_bad"), F.count(target).alias("_n"))
@@ -138,6 +232,7 @@ class StepwiseSettings:
     n_max: int = 15
     force_fill: bool = True
     random_state: int | None = None
+    distributed: bool = False
 
 
 @dataclass
@@ -158,14 +253,12 @@ class Stepwise:
 class Selector:
     """Forward, backward and perturbed selection. All of it works on the compressed samples; nothing here touches rows."""
 
-    def __init__(self, train: Sample, test: Sample | None, settings: StepwiseSettings, force_in: list[str] | None = None) -> None:
+    def __init__(self, train: Sample | SpreadSample, test: Sample | SpreadSample | None, settings: StepwiseSettings, force_in: list[str] | None = None) -> None:
         self.train, self.test, self.s = train, test, settings
         self.force_in = list(force_in or [])
         self.fits: dict[tuple[str, ...], Logit | None] = {}
         self.random = random.Random(settings.random_state if settings.random_state is not None else 0)
-        weight = train.n / train.n.sum()
-        centred = train.x - weight @ train.x
-        cov = (centred * weight[:, None]).T @ centred
+        cov = train.covariance()
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-300))
         self.corr = cov / np.outer(scale, scale)
         unknown = set(settings.feature_belong or {}) - set(train.names)
@@ -175,14 +268,14 @@ class Selector:
     def model(self, names: list[str]) -> Logit | None:
         key = tuple(sorted(names))
         if key not in self.fits:
-            self.fits[key] = fit_logit(list(key), self.train.matrix(list(key)), self.train.bad, self.train.n) if key else None
+            self.fits[key] = self.train.fit(list(key)) if key else None
         return self.fits[key]
 
     def performance(self, names: list[str]) -> dict[str, float]:
         model, out = self.model(names), {}
         for part, sample in (("trn", self.train), ("test", self.test)):
             if sample is not None:
-                ks, auc = ks_auc(model.margin(sample.matrix(model.names)), sample.bad, sample.n) if model else (0.0, 0.5)
+                ks, auc = sample.ks_auc(model) if model else (0.0, 0.5)
                 out |= {f"{part}_ks": ks, f"{part}_auc": auc}
         return out
 
@@ -308,7 +401,16 @@ class Selector:
 
 def stepwise(train: DataFrame, target: str, columns: list[str], test: DataFrame | None = None, settings: StepwiseSettings | None = None, force_in: list[str] | None = None, candidates: list[str] | None = None) -> Stepwise:
     """Stepwise selection among WOE columns. Reads each sample once."""
+    settings = settings or StepwiseSettings()
     samples = [compress(d, target, columns) if d is not None else None for d in (train, test)]
-    if samples[0] is None or (test is not None and samples[1] is None):
-        raise ValueError(f"more than {COMBINATIONS} combinations of WOE values; screen the features or bin them coarser first")
-    return Selector(*samples, settings or StepwiseSettings(), force_in).run(candidates)
+    for i, d in enumerate((train, test)):
+        if d is not None and samples[i] is None:
+            if not settings.distributed:
+                raise ValueError(f"more than {COMBINATIONS} combinations of WOE values; set `distributed`, screen the features or bin them coarser")
+            samples[i] = SpreadSample(d, target, columns)
+    try:
+        return Selector(*samples, settings, force_in).run(candidates)
+    finally:
+        for sample in samples:
+            if isinstance(sample, SpreadSample):
+                sample.rows.unpersist()

@@ -127,6 +127,22 @@ def test_stepwise(df, tables):
         scorecard.stepwise(encode(train), "bad", list(tables), None, scorecard.StepwiseSettings(feature_belong={"nobody": "x"}))
 
 
+def test_stepwise_beyond_the_driver(df, tables, monkeypatch):
+    train, test, _ = samples(df)
+    encode = lambda d: woe.woe_transform(d.select("qty", "disc", "tax", "bad"), tables)
+    found = []
+    for most in (scorecard.COMBINATIONS, 8):  # 8: some trials fit the driver, others do not
+        monkeypatch.setattr(scorecard, "COMBINATIONS", most)
+        settings = scorecard.StepwiseSettings(n_min=2, n_max=3, max_iter_round=2, random_state=1, distributed=True)
+        found.append(scorecard.stepwise(encode(train), "bad", ["qty", "disc", "tax"], encode(test), settings, ["disc", "tax"]))
+    own, other = found
+    assert own.support == other.support and [r[:3] for r in own.record] == [r[:3] for r in other.record]
+    assert all(math.isclose(a, b, rel_tol=1e-6) for a, b in zip(own.model.params, other.model.params, strict=True))
+    assert all(math.isclose(a, b, rel_tol=1e-6) for a, b in zip(own.model.errors, other.model.errors, strict=True))
+    assert own.performance.keys() == other.performance.keys()
+    assert all(math.isclose(own.performance[k], other.performance[k], abs_tol=1e-6) for k in own.performance)
+
+
 def test_rules_hit_what_they_say(df):
     found = rules.mine(df, "bad", ["qty", "disc", "tax"], rules.RuleSettings(min_lift=1.3, max_hit_rate=0.5))
     assert found and [r.lift for r in found] == sorted((r.lift for r in found), reverse=True)
