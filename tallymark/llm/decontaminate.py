@@ -115,6 +115,8 @@ def marked(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, ...] = ("d
     lone = chosen.where("second = ''").limit(1).count() > 0
     bits = bitmap(hashed.where("second != ''"))
     lone_bits = bitmap(hashed.where("second = ''")) if lone else None
+    if lone and lone_bits is None:  # too many for a bitmap: every place is to be joined, whatever its pair
+        bits = None
 
     own = docs.select(*columns, words(F.col("text")).alias("w"))
     reach = WINDOW - 2

@@ -183,3 +183,11 @@ def test_reader_finds_damage():
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
         with pytest.raises(warc.WarcError, match=why):
             list(warc.read_records(io.BytesIO(packer.compress(changed) + packer.flush())))
+
+
+def test_more_one_word_items_than_a_bitmap_holds(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MAX_BITS", 1 << 12)  # bitmaps of up to 1024 hashes
+    items = [*((i, f"w{i}") for i in range(1100)), (2000, "alpha beta")]
+    docs = [(1, "here stands w7 alone"), (2, "alpha beta"), (3, "nothing of it")]
+    rows = decontaminate.marked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {x.doc_id: (x.n_hit, x["items"]) for x in rows} == {1: (1, ["7"]), 2: (2, ["2000"]), 3: (0, [])}
