@@ -1,7 +1,8 @@
 """Binning of all columns in one pass: histograms in Spark, merges on the driver on a few dozen rows a variable, tables as DataFrames.
 
 The histogram is taken at the finest cuts a method may keep, with the least and largest value in each; every later cut is one
-of these, so merged bins are sums and the data are not read again. Special values and NULLs get bins of their own, after the main ones.
+of these, so merged bins are sums and the data are not read again. Trees are grown over all distinct values. Special values and
+NULLs get bins of their own, after the main ones.
 """
 
 from __future__ import annotations
@@ -13,13 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..functions.expressions import bin_index, long_form, usable, without_nan
-from .profile import MAX_CATEGORIES, distinct_up_to, quantile_edges, require_unique, roles
+from ..functions.expressions import bin_index, is_numeric, long_form, usable, without_nan
+from .passes import Survey, kept
+from .profile import MAX_CATEGORIES, number_roles, require_unique
+from .trees import Leaf, grow
 
 METHODS = ("chi", "frequency", "distance", "tree")
 CATEGORY_MODES = ("woe_per_value", "badrate_merge", "freq_merge")
-PREBINS, TREE_PREBINS = 50, 1024
-"""Finest bins: of the chi-square method, and of the tree, which takes every value where there are at most so many."""
+PREBINS = 50
+"""Finest bins of the chi-square method, which takes every value where there are at most so many."""
 BIN_SCHEMA = (
     "variable string, bin_no int, kind string, lo double, hi double, levels array<string>, label string, count long, count_bad long, count_good long, "
     "bad_rate double, woe double, iv double, iv_total double, method string, monotonic int, trend_preset int, trend_match boolean, dtype string"
@@ -124,8 +127,8 @@ class BinTable:
         ]
 
 
-def _fit_main(name: str, rows: list[tuple], s: Settings, total: int, cuts: list[float] | None) -> BinTable:
-    """rows: (bin, bad, good, least, largest value) of the clean values; cuts: the histogram's."""
+def _fit_main(name: str, rows: list[tuple], s: Settings, total: int, cuts: list[float] | None, leaves: list[Leaf] | None) -> BinTable:
+    """rows: (bin, bad, good, least, largest value) of the clean values; cuts: the histogram's; leaves: of the tree method."""
     trend = K.trend_code(s.monotonic)
     rows = sorted(rows)
     if s.manual_cutoffs is not None or s.method == "distance":
@@ -138,10 +141,7 @@ def _fit_main(name: str, rows: list[tuple], s: Settings, total: int, cuts: list[
         edges = [*(cuts or ()), K.INF]
         regroup = K.chi_merge([[r[4] if cuts is None else edges[r[0]], r[1], r[2]] for r in rows], s.n_bins, s.confidence)
     else:
-        n = sum(r[1] + r[2] for r in rows)
-        points = [[r[4], r[1], r[2]] for r in rows]
-        found = K.tree_cuts(points, max_leaves=s.n_bins, least=max(1, int(0.01 * n)))
-        regroup = [[c, sum(p[1] for p in points if lo < p[0] <= c), sum(p[2] for p in points if lo < p[0] <= c)] for lo, c in zip([-K.INF, *found], [*found, K.INF], strict=True)]
+        regroup = [[leaf.hi, leaf.bad, leaf.good] for leaf in leaves or ()]
     if regroup:
         regroup[-1] = [K.INF, *regroup[-1][1:]]
     if s.manual_cutoffs is None and s.adjust_shape:
@@ -168,74 +168,70 @@ def _fit_levels(name: str, rows: list[tuple[str, int, int]], s: Settings) -> Bin
 def fit(df: DataFrame, target: str, columns: list[str], settings: Settings | None = None, config: dict[str, dict] | None = None) -> dict[str, BinTable]:
     """variable -> table. config: settings by variable, over the common ones. Variables with too few values are left out, with a warning.
 
-    Passes over df: for roles, distinct counts and quantiles (aggregates of bounded state), and for histograms (a shuffle of summed rows).
+    The features and the target are persisted meanwhile. Passes over them: a sample, a survey of all numbers, the few values around
+    their cuts, and counts of levels; for trees a shuffle of rows summed by value.
     """
     require_unique(columns, "features")
-    df = without_nan(df)
-    base = settings or Settings()
-    own = {c: replace(base, **(config or {}).get(c, {})) for c in columns}
+    with kept(df, without_nan(df).select(*columns, target)) as held:
+        return _fit(held, target, columns, settings or Settings(), config or {})
+
+
+def _fit(df: DataFrame, target: str, columns: list[str], base: Settings, config: dict[str, dict]) -> dict[str, BinTable]:
+    own = {c: replace(base, **config.get(c, {})) for c in columns}
     total, low, high, odd = df.agg(F.count("*"), F.min(target), F.max(target), F.count_if(~F.col(target).isin(0, 1) | F.col(target).isNull())).first()
     if odd or (low, high) != (0, 1):
         raise ValueError("the target must have the values 0 and 1, both")
-    kinds = roles(df, columns)
-    numeric = [c for c in columns if kinds[c] == "numeric"]
     excluded = {c: [*own[c].special_values, *own[c].skip_values] for c in columns}
-    clean = {c: usable(F.col(c), excluded[c]) for c in numeric}
-
-    by_width = [c for c in numeric if own[c].manual_cutoffs is None and own[c].method == "distance"]
-    ranges = df.agg(*(F.struct(F.min(clean[c]), F.max(clean[c])).alias(c) for c in by_width)).first() if by_width else {}
-    limits = {c: {"chi": PREBINS, "tree": TREE_PREBINS}[own[c].method] for c in numeric if own[c].manual_cutoffs is None and own[c].method in ("chi", "tree")}
-    distinct = distinct_up_to(df, {c: clean[c] for c in limits}, limits)
-    wanted = {c: own[c].n_bins for c in numeric if own[c].manual_cutoffs is None and own[c].method == "frequency"}
-    wanted |= {c: limit for c, limit in limits.items() if distinct[c][1] > limit}
-    edges = quantile_edges(df, list(wanted), wanted, excluded)
-    cuts: dict[str, list[float] | None] = {}
+    numbers = [c for c in columns if is_numeric(df, c)]
+    survey = Survey(df, {c: F.col(c) for c in numbers}, F.col(target), excluded, max(PREBINS, MAX_CATEGORIES), total)
+    numeric = number_roles(df, survey)
+    levels = [c for c in columns if c not in numeric]
+    free = [c for c in numeric if own[c].manual_cutoffs is None]
+    by_tree = [c for c in free if own[c].method == "tree"]
+    by_value = [c for c in free if own[c].method == "chi" and survey.few[c] is not None and len(survey.few[c]) <= PREBINS]
+    edges = survey.edges({c: PREBINS if own[c].method == "chi" else own[c].n_bins for c in free if own[c].method in ("chi", "frequency") and c not in by_value})
+    cuts: dict[str, list[float]] = {c: e[1:-1] for c, e in edges.items()}
     for c in numeric:
         if own[c].manual_cutoffs is not None:
             cuts[c] = sorted(float(x) for x in own[c].manual_cutoffs)
         elif own[c].method == "distance":
-            lo, hi = ranges[c]
-            step = (hi - lo) / own[c].n_bins if lo is not None else 0
+            lo, hi = survey.range(c) or (0.0, 0.0)
+            step = (hi - lo) / own[c].n_bins
             cuts[c] = sorted({round(lo + step * i, 12) for i in range(1, own[c].n_bins)}) if step > 0 else []
-        else:
-            cuts[c] = edges[c][1:-1] if c in edges else None  # None: every value for itself
-
-    def key(c: str) -> Column:
-        """What the histogram is by: m:<bin> or v:<value> for main values, s:<value> for special ones, NULL for missing ones."""
-        if c not in numeric:
-            return F.concat(F.lit("v:"), F.col(c).cast("string"))
-        x = F.col(c).cast("double")
-        main = F.concat(F.lit("m:"), bin_index(clean[c], cuts[c]).cast("string")) if cuts[c] is not None else F.concat(F.lit("v:"), clean[c].cast("string"))
-        special = F.when(x.isin(list(own[c].special_values)), F.concat(F.lit("s:"), x.cast("string"))) if own[c].special_values else F.lit(None).cast("string")
-        skip = F.when(x.isin(list(own[c].skip_values)), F.lit("k:")) if own[c].skip_values else F.lit(None).cast("string")
-        return F.coalesce(main, special, skip)
-
-    pairs = {c: F.struct(key(c).alias("key"), (clean[c] if c in numeric else F.lit(None).cast("double")).alias("x")) for c in columns}
-    cells = long_form(df, pairs, {"y": F.col(target)}).groupBy("variable", F.col("value.key").alias("key"))
-    cells = cells.agg(F.sum("y"), F.sum(1 - F.col("y")), F.min("value.x"), F.max("value.x")).collect()
+    found = survey.histogram(cuts)
+    clean = {c: usable(F.col(c), excluded[c]) for c in by_tree}
+    leaves = grow(df, target, clean, {c: max(1, int(0.01 * survey.n(c))) for c in by_tree}, {c: own[c].n_bins for c in by_tree})
+    counted: dict[str, list[tuple]] = {c: [] for c in levels}
+    if levels:
+        cells = long_form(df, {c: F.col(c).cast("string") for c in levels}, {"y": F.col(target)}).groupBy("variable", "value")
+        for c, level, bad, good in cells.agg(F.sum("y"), F.sum(1 - F.col("y"))).collect():
+            counted[c].append((level, bad, good))
 
     tables = {}
     for c in columns:
-        s, mine = own[c], [r[1:] for r in cells if r[0] == c]
-        main = [r for r in mine if r[0] and r[0][0] in "mv"]
-        n = sum(r[1] + r[2] for r in mine if r[0])
-        least = max(1, int(s.min_nobs * total)) if 0 < s.min_nobs < 1 else s.min_nobs
-        if n < least or not main:
-            warnings.warn(f"{c}: {n} values are too few to bin", stacklevel=2)
-            continue
-        if kinds[c] != "numeric":
+        s = own[c]
+        if c in numeric:
+            if c in by_value:
+                rows = [(i, bad, k - bad, x, x) for i, (x, k, bad) in enumerate(survey.few[c])]
+            else:
+                rows = [(i, bad, k - bad, lo, hi) for i, k, bad, lo, hi in found.get(c, ())]
+            apart = [(x, bad, k - bad) for x, k, bad in survey.apart[c] if x in s.special_values]
+            n = survey.n(c) + sum(k for _, k, _ in survey.apart[c])
+            k, bad = survey.missing[c]
+            missing = (bad, k - bad) if k else None
+        else:
             special = {f"{v:g}" for v in s.special_values} | {str(v) for v in s.special_values}
             skip = {f"{v:g}" for v in s.skip_values} | {str(v) for v in s.skip_values}
-            levels = [(r[0][2:], r[1], r[2]) for r in main if r[0][2:] not in skip]
-            table = _fit_levels(c, [x for x in levels if x[0] not in special], s)
-            apart = [(float(x), b, g) for x, b, g in levels if x in special]
-        else:
-            order = sorted(main, key=lambda r: r[3])
-            rows = [(int(r[0][2:]) if cuts[c] is not None else i, *r[1:]) for i, r in enumerate(order)]
-            table = _fit_main(c, rows, s, total, cuts[c])
-            apart = [(r[3] if r[3] is not None else float(r[0][2:]), r[1], r[2]) for r in mine if r[0] and r[0][0] == "s"]
+            n = sum(b + g for x, b, g in counted[c] if x is not None)
+            rows = [r for r in counted[c] if r[0] is not None and r[0] not in skip]
+            apart = [(float(x), b, g) for x, b, g in rows if x in special]
+            missing = next(((b, g) for x, b, g in counted[c] if x is None), None)
+        least = max(1, int(s.min_nobs * total)) if 0 < s.min_nobs < 1 else s.min_nobs
+        if n < least or not (rows or leaves.get(c)):
+            warnings.warn(f"{c}: {n} values are too few to bin", stacklevel=3)
+            continue
+        table = _fit_main(c, rows, s, total, cuts.get(c), leaves.get(c)) if c in numeric else _fit_levels(c, [x for x in rows if x[0] not in special], s)
         table.bins += [Bin("special", b, g, value=v) for v, b, g in sorted(apart)]
-        missing = next(((r[1], r[2]) for r in mine if r[0] is None), None)
         if missing:
             few = missing[0] == 0 or sum(missing) < max(1, int(total * s.min_bin_pct))
             if s.missing_combine in ("near", "worst") and few and table.bins:
@@ -247,7 +243,7 @@ def fit(df: DataFrame, target: str, columns: list[str], settings: Settings | Non
                 table.bins.append(Bin("missing", *missing))
         tables[c] = table.weigh()
         if table.trend_match is False:
-            warnings.warn(f"{c}: trend {K.TREND_NAMES[table.monotonic]}, not {K.TREND_NAMES[table.trend_preset]}", stacklevel=2)
+            warnings.warn(f"{c}: trend {K.TREND_NAMES[table.monotonic]}, not {K.TREND_NAMES[table.trend_preset]}", stacklevel=3)
     return tables
 
 

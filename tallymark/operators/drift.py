@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import bin_index, long_form, psi_term, usable, without_nan
-from .profile import as_text, distinct_up_to, quantile_edges, roles
+from ..functions.expressions import bin_index, is_numeric, long_form, psi_term, usable, without_nan
+from .passes import MAIN, Survey, histograms, kept
+from .profile import MAX_CATEGORIES, as_text, distinct_up_to, number_roles, quantile_edges, roles
 
 UNSEEN = "__unseen__"
 
@@ -22,24 +25,26 @@ def psi_of(cells: DataFrame, keys: list[str], expected: str = "expected", actual
 def psi_table(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
     """variable, psi: bins from train (levels for categories and up to five values, else ten quantile bins); what train does
     not have is one bin, and so are values outside its range. NULLs are left out."""
-    train, test = without_nan(train), without_nan(test)
-    own = roles(train, columns)
-    counts = distinct_up_to(train, {c: F.col(c) for c in columns}, dict.fromkeys(columns, 5))
-    levels = [c for c in columns if own[c] != "numeric" or counts[c][1] <= 5]
-    edges = quantile_edges(train, [c for c in columns if c not in levels], 10)
-
-    def binned(df: DataFrame, side: int) -> DataFrame:
-        values = as_text(df, levels)
-        for c, e in edges.items():
-            x = F.col(c).cast("double")
-            values[c] = F.when(x.between(e[0], e[-1]), bin_index(x, e[1:-1]).cast("string")).when(x.isNotNull(), F.lit(UNSEEN)) if e else F.lit(None).cast("string")
-        return long_form(df, values, {"side": F.lit(side)}).where("value IS NOT NULL")
-
-    cells = binned(train, 0).union(binned(test, 1)).groupBy("variable", "value")
-    cells = cells.agg(F.count_if(F.col("side") == 0).alias("expected"), F.count_if(F.col("side") == 1).alias("actual"))
-    known = F.when((F.col("expected") > 0) | (F.col("value") == UNSEEN), F.col("value")).otherwise(F.lit(UNSEEN))
-    cells = cells.groupBy("variable", known.alias("value")).agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"))
-    return psi_of(cells, ["variable"])
+    test = without_nan(test).select(*columns)
+    with kept(train, without_nan(train).select(*columns)) as train:
+        survey = Survey(train, {c: F.col(c) for c in columns if is_numeric(train, c)}, few=MAX_CATEGORIES)
+        binned = [c for c in number_roles(train, survey) if survey.few[c] is None or len(survey.few[c]) > 5]
+        levels = [c for c in columns if c not in binned]
+        edges = survey.edges(dict.fromkeys(binned, 10))
+        cuts = {c: [math.nextafter(edges[c][0], -math.inf), *(edges[c][1:] or edges[c])] for c in binned if edges[c]}  # the first and last bins lie outside
+        name = lambda c, i: UNSEEN if i in (0, len(cuts[c])) else str(i)
+        rows = [(c, name(c, i), n, 0) for c, bins in survey.histogram(cuts).items() for i, n, *_ in bins]
+        rows += [(c, name(c, int(r.at)), 0, r.n) for c, bins in histograms(test, {c: F.col(c) for c in cuts}, cuts).items() for r in bins if r.kind == MAIN]
+        cells = train.sparkSession.createDataFrame(rows, "variable string, value string, expected long, actual long")
+        if levels:
+            by_level = lambda df, side: long_form(df, as_text(df, levels), {"side": F.lit(side)}).where("value IS NOT NULL")
+            own = by_level(train, 0).union(by_level(test, 1)).groupBy("variable", "value")
+            cells = cells.union(own.agg(F.count_if(F.col("side") == 0), F.count_if(F.col("side") == 1)))
+        known = F.when((F.col("expected") > 0) | (F.col("value") == UNSEEN), F.col("value")).otherwise(F.lit(UNSEEN))
+        cells = cells.groupBy("variable", "value").agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"))
+        cells = cells.groupBy("variable", known.alias("value")).agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual"))
+        out = psi_of(cells, ["variable"])
+        return train.sparkSession.createDataFrame(out.collect(), out.schema)
 
 
 def stability(df: DataFrame, target: str, period: Column, columns: list[str], n_bins: int = 5, trend: float = 0.5, psi_warn: float = 0.1, open_ended: bool = False) -> DataFrame:
@@ -54,7 +59,7 @@ def stability(df: DataFrame, target: str, period: Column, columns: list[str], n_
         raise ValueError("stability needs two periods at least")
     own = roles(df, columns)
     base = df.where(F.col("_period") == F.lit(first))
-    few = distinct_up_to(base, {c: F.col(c) for c in columns}, dict.fromkeys(columns, n_bins))
+    few = distinct_up_to(base, columns, n_bins)
     binned = [c for c in columns if own[c] == "numeric" and few[c][1] > n_bins]
     edges = quantile_edges(base, binned, n_bins)
 

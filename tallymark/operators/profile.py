@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import bin_index, is_numeric, long_form, usable, without_nan
+from ..functions.expressions import is_numeric, long_form, usable, without_nan
+from .passes import AT_ONCE, MAIN, MANY, VALUE, Survey, histograms, kept
 
 MAX_CATEGORIES, CATEGORY_SHARE = 20, 0.05
-DIRECT_ROWS, SKETCH_ACCURACY = 5_000_000, 10_000
-"""Quantiles of more values than that are bracketed by a sketch of that accuracy first."""
 SPECIAL_VALUES = (-999.0, -998.0, -1.0, 999999999.0)  # fixed values
 
 
@@ -23,23 +22,51 @@ def as_text(df: DataFrame, columns: list[str]) -> dict[str, Column]:
     return {c: F.col(c).cast("string") for c in columns}
 
 
+def typed(df: DataFrame, column: str, value: Column | None = None) -> Column:
+    """A value for grouping columns of several types together: numbers as they are, all else as text."""
+    kind, x = df.schema[column].dataType, F.col(column) if value is None else value
+    whole, floating = isinstance(kind, T.IntegralType), isinstance(kind, (T.DoubleType, T.FloatType))
+    return F.struct(
+        (x.cast("long") if whole else F.lit(None).cast("long")).alias("whole"), (x.cast("double") if floating else F.lit(None).cast("double")).alias("real"),
+        (F.lit(None).cast("string") if whole or floating else x.cast("string")).alias("text"),
+    )
+
+
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """variable, value (as text, NULL kept), n. Summed before the shuffle; one shuffle for all columns."""
-    return long_form(df, as_text(df, columns), {}).groupBy("variable", "value").agg(F.count("*").alias("n"))
+    """variable, known (the value is not NULL), n: a row for each value. Summed before the shuffle; one shuffle for all columns."""
+    cells = long_form(df, {str(i): typed(df, c) for i, c in enumerate(columns)}, {}).select(F.col("variable").cast("int").alias("i"), "value.*")
+    names = F.array(*map(F.lit, columns))
+    cells = cells.groupBy("i", "whole", "real", "text").agg(F.count("*").alias("n"))
+    return cells.select(F.get(names, F.col("i")).alias("variable"), (F.col("whole").isNotNull() | F.col("real").isNotNull() | F.col("text").isNotNull()).alias("known"), "n")
 
 
-def distinct_up_to(df: DataFrame, values: dict[str, Column], limits: dict[str, int]) -> dict[str, tuple[int, int]]:
-    """name -> (values that are not NULL, distinct ones), the latter exact up to the name's limit and else anything above it.
+def as_number(df: DataFrame, column: str) -> Column:
+    """A double that is as distinct as the column: numbers, dates and times; NULL for other types."""
+    kind, x = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(x).cast("double")
+    return x.cast("timestamp").cast("double") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else x.cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
 
-    A sketch comes first, so that columns with many values are not shuffled to be counted; only those near their limit are.
-    """
-    if not values:
-        return {}
-    parts = [x for c, v in values.items() for x in (F.count(v).alias(f"n:{c}"), F.approx_count_distinct(v, 0.02).alias(f"d:{c}"))]
-    row = df.agg(*parts).first()
-    near = [c for c in values if row[f"d:{c}"] <= 2 * limits[c] + 16]
-    exact = df.agg(*(F.count_distinct(values[c]).alias(c) for c in near)).first() if near else {}
-    return {c: (row[f"n:{c}"], exact[c] if c in near else row[f"d:{c}"]) for c in values}
+
+def distinct_up_to(df: DataFrame, columns: list[str], limit: int) -> dict[str, tuple[int, int]]:
+    """column -> (values that are not NULL, distinct ones), the latter exact up to the limit and else above it; of text columns 0."""
+    found = histograms(df, {c: as_number(df, c) for c in columns}, dict.fromkeys(columns, []), few=limit)
+    out = {}
+    for c in columns:
+        values = sum(r.kind == VALUE for r in found[c])
+        out[c] = sum(r.n for r in found[c] if r.kind == MAIN), limit + 1 if any(r.kind == MANY for r in found[c]) else values
+    return out
+
+
+def number_roles(df: DataFrame, survey: Survey) -> list[str]:
+    """The columns of a survey (with few set to MAX_CATEGORIES or more) that are numeric, not categorical."""
+    out = []
+    for c in survey.names:
+        values = survey.few[c]
+        distinct = MAX_CATEGORIES + 1 if values is None else len(values) + len(survey.apart[c])
+        if is_numeric(df, c) and not is_categorical(df, c, survey.n(c) + sum(r[1] for r in survey.apart[c]), distinct):
+            out.append(c)
+    return out
 
 
 def is_categorical(df: DataFrame, column: str, n: int, distinct: int, max_categories: int = MAX_CATEGORIES) -> bool:
@@ -53,7 +80,7 @@ def is_categorical(df: DataFrame, column: str, n: int, distinct: int, max_catego
 def roles(df: DataFrame, columns: list[str], max_categories: int = MAX_CATEGORIES) -> dict[str, str]:
     """column -> "categorical", "numeric" or "other" (such as times with many values)."""
     require_unique(columns)
-    counts = distinct_up_to(df, {c: F.col(c) for c in columns}, dict.fromkeys(columns, max_categories))
+    counts = distinct_up_to(df, columns, max_categories)
     out = {}
     for c in columns:
         n, distinct = counts.get(c, (0, 0))
@@ -67,23 +94,27 @@ def detect(df: DataFrame, target: str | None = None, special_values: dict[str, l
     Numbers: mean and deviation of 4 digits, extremes and quartiles with linear interpolation. special_pct_valid is NULL for
     columns without special values.
     """
-    df = without_nan(df)
     columns = [c for c in df.columns if c != target]
-    own = roles(df, columns, max_categories)
+    with kept(df, without_nan(df)) as held:
+        out = _detected(held, columns, roles(held, columns, max_categories), special_values or {})
+        return df.sparkSession.createDataFrame(out.collect(), out.schema)
+
+
+def _detected(df: DataFrame, columns: list[str], own: dict[str, str], specials: dict[str, list[float]]) -> DataFrame:
     numbers = [c for c in columns if own[c] == "numeric"]
-    specials = special_values or {}
+    quartiles = quantile_values(df, numbers, [0.25, 0.5, 0.75])
     counted = value_counts(df, columns).groupBy("variable").agg(
-        F.sum("n").alias("count"), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("_valid"),
-        F.count("value").alias("n_unique"), F.max(F.when(F.col("value").isNotNull(), F.col("n"))).alias("_mode"),
+        F.sum("n").alias("count"), F.coalesce(F.sum(F.when(F.col("known"), F.col("n"))), F.lit(0)).alias("_valid"),
+        F.count_if("known").alias("n_unique"), F.max(F.when(F.col("known"), F.col("n"))).alias("_mode"),
     )
     measures = {}
     for c in columns:
         x = F.col(c).cast("double") if c in numbers else F.lit(None).cast("double")
         special = F.sum(F.col(c).cast("double").isin(specials[c]).cast("long")) if specials.get(c) else F.lit(0).cast("long")
-        quartiles = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if c in numbers else F.lit(None).cast("array<double>")
+        q = F.array(*map(F.lit, quartiles[c])) if quartiles.get(c) else F.lit(None).cast("array<double>")
         measures[c] = F.struct(
             F.lit(c).alias("variable"), F.lit(own[c]).alias("dtype"), F.coalesce(special, F.lit(0)).alias("_special"), F.lit(bool(specials.get(c))).alias("_has"),
-            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), quartiles.alias("_q"), F.max(x).alias("max"),
+            F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.first(q).alias("_q"), F.max(x).alias("max"),
         )
     measured = df.agg(F.array(*measures.values()).alias("m")).select(F.inline("m"))
     percent = lambda part, whole: F.round(100.0 * part / F.nullif(whole, F.lit(0)), 2)
@@ -101,7 +132,7 @@ def reader_summary(df: DataFrame, exclude: list[str]) -> DataFrame:
     columns = [c for c in df.columns if c not in exclude]
     kinds = F.create_map(*(x for c in columns for x in (F.lit(c), F.lit(dict(df.dtypes)[c]))))
     counted = value_counts(df, columns).groupBy("variable").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"), F.sum("n").alias("_n"), F.count("value").alias("n_unique")
+        F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)).alias("n_missing"), F.sum("n").alias("_n"), F.count_if("known").alias("n_unique")
     )
     share = F.round(100.0 * F.col("n_missing") / F.col("_n"), 2).alias("missing_pct")
     return counted.select("variable", kinds[F.col("variable")].alias("dtype"), "n_missing", share, "n_unique").orderBy(F.desc("missing_pct"), "variable")
@@ -141,53 +172,13 @@ def target_by(df: DataFrame, period: Column, target: str) -> DataFrame:
     return df.groupBy(period.alias("period")).agg(F.count(target).alias("n"), F.round(F.avg(F.col(target).cast("double")), 4).alias("bad_rate"))
 
 
-def quantile_edges(df: DataFrame, columns: list[str], n_bins: int | dict[str, int], specials: dict[str, list[float]] | None = None, direct_rows: int = DIRECT_ROWS) -> dict[str, list[float]]:
-    """Distinct quantiles (linear interpolation) of each column at 0, 1/n, ..., 1, NULLs and special values left out.
+def quantile_values(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float]]:
+    return Survey(df, {c: F.col(c) for c in columns}).quantiles(dict.fromkeys(columns, probs))
 
-    Up to direct_rows values a column, all columns take one pass of percentile(), whose state is the distinct values. Beyond, a
-    bounded sketch brackets each quantile first, and only values within the brackets are ranked: the state stays bounded, the result exact.
-    """
-    if not columns:
-        return {}
-    x = {c: usable(F.col(c), (specials or {}).get(c, ())) for c in columns}
-    probs = {c: [i / n for i in range(n + 1)] for c in columns for n in [n_bins[c] if isinstance(n_bins, dict) else n_bins]}
-    sizes = df.agg(*(F.count(x[c]).alias(c) for c in columns)).first()
-    large = [c for c in columns if sizes[c] > direct_rows]
-    exprs = [F.percentile(x[c], F.array(*map(F.lit, probs[c]))).alias(c) for c in columns if c not in large]
-    row = df.agg(*exprs).first() if exprs else {}
-    found = {c: row[c] or [] for c in columns if c not in large}
-    found |= {c: bracketed_quantiles(df, x[c], sizes[c], probs[c], direct_rows) for c in large}
-    return {c: sorted(set(found[c])) for c in columns}
-
-
-def bracketed_quantiles(df: DataFrame, x: Column, n: int, probs: list[float], direct_rows: int = DIRECT_ROWS) -> list[float]:
-    """Quantiles of n values by narrowing brackets until each holds at most direct_rows values; about three passes at any size."""
-    brackets = [(p * (n - 1), float("-inf"), float("inf"), n) for p in probs]  # place in the order, bracket, values in it
-    below = [0] * len(probs)
-    while any(m > direct_rows for *_, m in brackets):
-        margin = 3 / SKETCH_ACCURACY
-        exprs = []
-        for (place, lo, hi, m), k in zip(brackets, below, strict=True):
-            at = (place - k) / max(1, m - 1)
-            ends = [F.lit(max(0.0, at - margin)), F.lit(min(1.0, at + margin))]
-            exprs.append(F.percentile_approx(F.when(x.between(lo, hi), x), F.array(*ends), F.lit(SKETCH_ACCURACY)) if m > direct_rows else F.array(F.lit(lo), F.lit(hi)))
-        ends = [tuple(e) for e in df.agg(*(e.alias(f"_{i}") for i, e in enumerate(exprs))).first()]
-        counted = df.agg(*(c for lo, hi in ends for c in (F.count_if(x < lo), F.count_if(x.between(lo, hi))))).first()
-        narrowed = False
-        for i, (lo, hi) in enumerate(ends):
-            place, m = brackets[i][0], brackets[i][3]
-            k, held = counted[2 * i], counted[2 * i + 1]
-            if m > direct_rows and k <= place and (place <= k + held - 1) and (held < m or lo == hi):
-                narrowed |= held < m
-                brackets[i], below[i] = (place, lo, hi, 1 if lo == hi else held), k
-                if lo == hi:  # one value fills the bracket
-                    brackets[i] = (float(k), lo, hi, 1)
-        if not narrowed and any(m > direct_rows for *_, m in brackets):
-            break
-    exprs = []
-    for (place, lo, hi, m), k in zip(brackets, below, strict=True):
-        exprs.append(F.lit(lo) if lo == hi else F.percentile(F.when(x.between(lo, hi), x), F.lit((place - k) / max(1, m - 1))))
-    return list(df.agg(*(e.alias(f"_{i}") for i, e in enumerate(exprs))).first())
+
+def quantile_edges(df: DataFrame, columns: list[str], n_bins: int, at_once: int = AT_ONCE) -> dict[str, list[float]]:
+    """Distinct quantiles (linear interpolation) of each column at 0, 1/n, ..., 1, NULLs left out. Exact."""
+    return Survey(df, {c: F.col(c) for c in columns}, at_once=at_once).edges(dict.fromkeys(columns, n_bins))
 
 
 def quick_iv(df: DataFrame, target: str, columns: list[str], max_categories: int = MAX_CATEGORIES) -> DataFrame:
@@ -195,16 +186,20 @@ def quick_iv(df: DataFrame, target: str, columns: list[str], max_categories: int
 
     Only bins with both classes count, without caps; 0 for one class or one bin. Rows with a NULL on either side are left out.
     """
-    df = without_nan(df).where(F.col(target).isNotNull())
-    sizes = distinct_up_to(df, {c: F.col(c) for c in columns}, dict.fromkeys(columns, max(10, max_categories)))
-    levels = [c for c in columns if is_categorical(df, c, *sizes[c], max_categories) or sizes[c][1] <= 5]
-    binned = [c for c in columns if c not in levels]
-    edges = quantile_edges(df, binned, {c: min(10, max(2, sizes[c][1])) for c in binned})
-    values = as_text(df, levels) | {c: bin_index(F.col(c).cast("double"), edges[c][1:-1]).cast("string") for c in binned}
-    cells = long_form(df, values, {"y": F.col(target)}).where("value IS NOT NULL").groupBy("variable", "value")
-    cells = cells.agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    whole = Window.partitionBy("variable")
-    cells = cells.withColumns({"b": F.sum("bad").over(whole), "g": F.sum("good").over(whole)})
-    both = (F.col("bad") > 0) & (F.col("good") > 0)
-    b, g = F.col("bad") / F.col("b"), F.col("good") / F.col("g")
-    return cells.groupBy("variable").agg(F.round(F.coalesce(F.sum(F.when(both, (b - g) * F.ln(b / g))), F.lit(0.0)), 6).alias("iv"))
+    with kept(df, without_nan(df).where(F.col(target).isNotNull()).select(*columns, target)) as held:
+        survey = Survey(held, {c: F.col(c) for c in columns if is_numeric(held, c)}, F.col(target), few=max(10, max_categories))
+        numbers = {c: (survey.n(c), max_categories + 1 if survey.few[c] is None else len(survey.few[c])) for c in survey.names}
+        binned = [c for c, size in numbers.items() if not is_categorical(held, c, *size, max_categories) and size[1] > 5]
+        levels = [c for c in columns if c not in binned]
+        edges = survey.edges({c: min(10, max(2, numbers[c][1])) for c in binned})
+        rows = [(c, str(i), bad, n - bad) for c, bins in survey.histogram({c: edges[c][1:-1] for c in binned}).items() for i, n, bad, *_ in bins]
+        cells = df.sparkSession.createDataFrame(rows, "variable string, value string, bad long, good long")
+        if levels:
+            own = long_form(held, as_text(held, levels), {"y": F.col(target)}).where("value IS NOT NULL").groupBy("variable", "value")
+            cells = cells.union(own.agg(F.sum("y").cast("long"), F.sum(1 - F.col("y")).cast("long")))
+        whole = Window.partitionBy("variable")
+        cells = cells.withColumns({"b": F.sum("bad").over(whole), "g": F.sum("good").over(whole)})
+        both = (F.col("bad") > 0) & (F.col("good") > 0)
+        b, g = F.col("bad") / F.col("b"), F.col("good") / F.col("g")
+        out = cells.groupBy("variable").agg(F.round(F.coalesce(F.sum(F.when(both, (b - g) * F.ln(b / g))), F.lit(0.0)), 6).alias("iv"))
+        return df.sparkSession.createDataFrame(out.collect(), out.schema)

@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import bin_index, is_numeric, long_form, without_nan
+from ..functions.expressions import is_numeric, long_form, without_nan
 from .binning import BinTable, Settings, fit
 from .drift import correlations, psi_of, vif
+from .passes import MAIN, histograms, kept
 from .profile import quick_iv, require_unique, value_counts
 
 REASONS = ("missing", "one_value", "iv", "auc", "psi", "corr", "vif", "top_n")
@@ -56,8 +57,8 @@ def assess_screen(support: list[str], *, stage: str, n_candidates: int | None =
 def missing_and_mode(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float | None]]:
     """column -> share of NULLs, and share of the most frequent value among others."""
     n = F.sum("n")
-    valid = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
-    mode = F.max(F.when(F.col("value").isNotNull(), F.col("n")))
+    valid = F.sum(F.when(F.col("known"), F.col("n")))
+    mode = F.max(F.when(F.col("known"), F.col("n")))
     rows = value_counts(df, columns).groupBy("variable").agg((1 - F.coalesce(valid, F.lit(0)) / n), mode / valid).collect()
     return {v: (m, o) for v, m, o in rows}
 
@@ -78,10 +79,14 @@ def psi_left_closed(train: DataFrame, test: DataFrame, target: str, columns: lis
     rest = [c for c in columns if c not in known]
     if rest:
         known |= {c: t for c, t in fit(train, target, rest, Settings(method="frequency", n_bins=10, adjust_shape=False)).items() if t.dtype == "numeric"}
-    binned = lambda df, side: long_form(df, {c: bin_index(F.col(c).cast("double"), known[c].cuts, right=False) for c in columns if c in known}, {"side": F.lit(side)})
-    cells = binned(without_nan(train), 0).union(binned(without_nan(test), 1)).where("value IS NOT NULL").groupBy("variable", "value")
-    cells = cells.agg(F.count_if(F.col("side") == 0).alias("expected"), F.count_if(F.col("side") == 1).alias("actual"))
-    return dict(psi_of(cells, ["variable"]).collect())
+    own = {c: F.col(c) for c in columns if c in known}
+    cuts = {c: known[c].cuts for c in own}
+    rows = []
+    for side, sample in ((0, train), (1, test)):
+        for c, cells in histograms(without_nan(sample), own, cuts, right=False).items():
+            rows += [(c, r.at, r.n * (side == 0), r.n * (side == 1)) for r in cells if r.kind == MAIN]
+    cells = train.sparkSession.createDataFrame(rows, "variable string, value double, expected long, actual long").groupBy("variable", "value")
+    return dict(psi_of(cells.agg(F.sum("expected").alias("expected"), F.sum("actual").alias("actual")), ["variable"]).collect())
 
 
 def screen(
@@ -95,12 +100,17 @@ def screen(
     not looked at again after that. All features over the VIF limit go together. Each statistic is one pass for all features.
     """
     require_unique(columns, "features")
-    spark, df = df.sparkSession, without_nan(df)
     if not columns:
         warnings.warn("no features to screen", FeatureScreenWarning, stacklevel=2)
     if max_psi is not None and test is None:
         warnings.warn("max_psi needs a test sample; the check is off", FeatureScreenWarning, stacklevel=2)
         max_psi = None
+    with kept(df, without_nan(df).select(*dict.fromkeys([*columns, target]))) as held:
+        return _screen(held, target, columns, test, tables, max_missing_rate, max_one_value_rate, iv_range, min_auc, max_psi, max_corr, max_vif, n_selected)
+
+
+def _screen(df, target, columns, test, tables, max_missing_rate, max_one_value_rate, iv_range, min_auc, max_psi, max_corr, max_vif, n_selected) -> Screen:
+    spark = df.sparkSession
     shares = missing_and_mode(df, columns) if columns else {}
     quick = [c for c in columns if c not in (tables or {})]
     iv = {c: t.iv_total for c, t in (tables or {}).items() if c in columns} | (dict(quick_iv(df, target, quick).collect()) if quick else {})

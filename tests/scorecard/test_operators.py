@@ -34,13 +34,13 @@ def test_tables_count_every_row(df, tables):
     assert tables["qty"].bins[0].label.startswith("(-inf, ")
 
 
-def test_bracketed_quantiles_equal_direct_ones(spark, df):
+def test_narrowed_quantiles_equal_direct_ones(spark, df):
     import numpy as np
 
     tied = spark.range(4000).select((F.pmod(F.xxhash64("id"), F.lit(997)) / 7).alias("x"), F.when(F.col("id") % 3 > 0, 5.0).otherwise(F.col("id").cast("double")).alias("y"))
     for frame, columns in ((df, ["qty", "price"]), (tied, ["x", "y"])):
         one = profile.quantile_edges(frame, columns, 10)
-        two = profile.quantile_edges(frame, columns, 10, direct_rows=50)
+        two = profile.quantile_edges(frame, columns, 10, at_once=50)
         for c in columns:
             assert np.allclose(one[c], two[c]), c
 
@@ -252,3 +252,23 @@ def test_empty_and_small_inputs(spark):
     assert metrics.ks_auc(one, F.col("x"), "y", []).first().auc == 0.5
     with pytest.raises(ValueError):
         drift.stability(one.withColumn("t", F.lit(1)), "y", F.col("t"), ["x"])
+
+
+def test_trees_equal_the_plain_version(spark):
+    from tallymark.functions.kernels import INF, tree_cuts
+    from tallymark.operators import trees
+
+    own = spark.range(3000).select(
+        (F.pmod(F.xxhash64("id"), F.lit(701)) / 7).alias("a"), F.when(F.col("id") % 5 > 0, F.pmod(F.xxhash64("id", F.lit(1)), F.lit(40)).cast("double")).alias("b"),
+        F.lit(3.0).alias("c"), F.lit(None).cast("double").alias("d"), (F.pmod(F.xxhash64("id", F.lit(2)), F.lit(9)) < F.pmod(F.xxhash64("id"), F.lit(701)) / 100).cast("int").alias("y"),
+    )
+    for most in ({"max_leaves": 6}, {"max_depth": 3}):
+        found = trees.grow(own, "y", {c: F.col(c) for c in "abcd"}, dict.fromkeys("abcd", 20), **most)
+        assert found["d"] == []
+        for c in "abc":
+            rows = [[x, bad, n - bad] for x, bad, n in sorted(own.where(f"{c} IS NOT NULL").groupBy(c).agg(F.sum("y"), F.count("*")).collect())]
+            cuts = tree_cuts(rows, least=20, **most)
+            assert [leaf.hi for leaf in found[c]] == [*cuts, INF] and len(cuts) > 0 or c == "c"
+            for leaf in found[c]:
+                inside = [r for r in rows if leaf.lo < r[0] <= leaf.hi]
+                assert (leaf.bad, leaf.good) == (sum(r[1] for r in inside), sum(r[2] for r in inside))
