@@ -8,14 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import bin_index, long_form, without_nan
-from ..functions.kernels import INF, tree_cuts
+from ..functions.expressions import without_nan
 from ..functions.logit import ks_auc
 from .drift import psi_table
-from .profile import distinct_up_to, quantile_edges, quick_iv, roles, value_counts
+from .passes import kept
+from .profile import quick_iv, roles, value_counts
+from .trees import grow
 
 ESTIMATORS = {"dt": "dt", "tree": "dt", "decisiontree": "dt", "xgb": "xgb", "xgboost": "xgb", "lgb": "lgb", "lightgbm": "lgb"}
-TREE_DEPTH, LEAF, MIN_ROWS, PREBINS = 3, 5, 10, 1024
+TREE_DEPTH, LEAF, MIN_ROWS = 3, 5, 10
 
 
 def estimator_name(name: str) -> str:
@@ -33,26 +34,15 @@ def list_supported_estimators() -> list[str]:
 
 
 def single_feature_scores(df: DataFrame, target: str, columns: list[str]) -> dict[str, tuple[float, float]]:
-    """column -> AUC and signed KS of a tree of depth 3 fitted and measured on the same rows, NULLs left out.
-
-    A column with more than PREBINS values is cut at as many quantiles first. All histograms come from one pass.
-    """
-    sizes = distinct_up_to(df, {c: F.col(c) for c in columns}, dict.fromkeys(columns, PREBINS))
-    edges = quantile_edges(df, [c for c in columns if sizes[c][1] > PREBINS], PREBINS)
-    x = {c: F.col(c).cast("double") for c in columns}
-    key = {c: bin_index(x[c], edges[c][1:-1]).cast("double") if c in edges else x[c] for c in columns}
-    cells = long_form(df.where(F.col(target).isNotNull()), {c: F.struct(key[c].alias("k"), x[c].alias("x")) for c in columns}, {"y": F.col(target)})
-    cells = cells.where("value.x IS NOT NULL").groupBy("variable", "value.k").agg(F.max("value.x").alias("x"), F.sum("y").alias("b"), F.sum(1 - F.col("y")).alias("g")).collect()
+    """column -> AUC and signed KS of a tree of depth 3 fitted and measured on the same rows, NULLs left out; none of a column with
+    fewer than 10 rows, one value or one class."""
     out = {}
-    for c in columns:
-        rows = sorted([r.x, int(r.b), int(r.g)] for r in cells if r.variable == c)
-        n = sum(r[1] + r[2] for r in rows)
-        if n < MIN_ROWS or len(rows) < 2 or sum(r[1] for r in rows) in (0, n):
+    trees = grow(df.where(F.col(target).isNotNull()), target, {c: F.col(c) for c in columns}, dict.fromkeys(columns, LEAF), max_depth=TREE_DEPTH)
+    for c, leaves in trees.items():
+        bad = np.array([leaf.bad for leaf in leaves], float)
+        total = np.array([leaf.bad + leaf.good for leaf in leaves], float)
+        if total.sum() < MIN_ROWS or bad.sum() in (0, total.sum()) or leaves[0].least == leaves[0].largest:
             continue
-        cuts = tree_cuts(rows, max_depth=TREE_DEPTH, least=LEAF)
-        leaves = [[r for r in rows if lo < r[0] <= hi] for lo, hi in zip([-INF, *cuts], [*cuts, INF], strict=True)]
-        bad = np.array([sum(r[1] for r in leaf) for leaf in leaves], float)
-        total = np.array([sum(r[1] + r[2] for r in leaf) for leaf in leaves], float)
         p = bad / total
         values, place = np.unique(p, return_inverse=True)
         b, t = np.bincount(place, bad), np.bincount(place, total)
@@ -64,16 +54,20 @@ def single_feature_scores(df: DataFrame, target: str, columns: list[str]) -> dic
 def quality(df: DataFrame, target: str, columns: list[str], test: DataFrame | None = None, estimator: str = "dt", compute_ks: bool = True, warn_insample_bias: bool = False) -> DataFrame:
     """variable, dtype, iv, auc, ks, psi (6 digits), missing_pct, n_unique, by IV. AUC and KS of numbers only, psi with a test sample only."""
     estimator_name(estimator)
-    df = without_nan(df)
     if test is not None and (absent := [c for c in columns if c not in test.columns]):
         raise ValueError(f"the test sample lacks {absent}")
     if warn_insample_bias:
         warnings.warn("AUC and KS are measured on the rows that the trees are fitted on", stacklevel=2)
+    with kept(df, without_nan(df).select(*columns, target)) as held:
+        return _quality(held, target, columns, test, compute_ks)
+
+
+def _quality(df: DataFrame, target: str, columns: list[str], test: DataFrame | None, compute_ks: bool) -> DataFrame:
     own, iv = roles(df, columns), dict(quick_iv(df, target, columns).collect())
     scores = single_feature_scores(df, target, [c for c in columns if own[c] == "numeric"])
     psi = dict(psi_table(df, test, columns).collect()) if test is not None else {}
-    missing = F.round(100.0 * F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)) / F.sum("n"), 2)
-    counts = {r[0]: (r[1], r[2]) for r in value_counts(df, columns).groupBy("variable").agg(missing, F.count("value")).collect()}
+    missing = F.round(100.0 * F.coalesce(F.sum(F.when(~F.col("known"), F.col("n"))), F.lit(0)) / F.sum("n"), 2)
+    counts = {r[0]: (r[1], r[2]) for r in value_counts(df, columns).groupBy("variable").agg(missing, F.count_if("known")).collect()}
     rounded = lambda v: None if v is None else round(v, 6)
     rows = [(c, own[c], rounded(iv.get(c)), rounded(scores[c][0]) if c in scores else None, rounded(scores[c][1]) if c in scores and compute_ks else None, rounded(psi.get(c)), *counts[c]) for c in columns]
     rows.sort(key=lambda r: (-(r[2] or 0.0), r[0]))
