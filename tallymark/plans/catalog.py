@@ -15,6 +15,7 @@ from ..functions.expressions import bin_index
 from ..functions.kernels import INF
 from ..operators import binning, diagnosis, drift, metrics, monitoring, profile, rules, scorecard, screening, splitting, woe
 from ..operators.binning import Settings
+from ..operators.passes import kept
 from ..operators.quality_report import quality
 from .chain import Chain
 from .loans import CATEGORIES, CONTINUOUS, FEATURES, LOANS_SQL, NUMERIC, SPECIALS, loans, samples
@@ -560,8 +561,9 @@ def scorecard_predict(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 @query()
 def quality_single_var(spark: SparkSession, df: DataFrame) -> DataFrame:
-    train, _, oot = samples(df)
-    return quality(train, "bad", FEATURES, test=oot)
+    with kept(df.select(*FEATURES, "yr", "bad")) as df:
+        train, _, oot = samples(df)
+        return quality(train, "bad", FEATURES, test=oot)
 
 
 @query()
@@ -575,12 +577,13 @@ def stepwise_record(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def _stepwise(df: DataFrame) -> scorecard.Stepwise:
-    train, test, _ = samples(df)
-    tables = binning.fit(train, "bad", FEATURES, Settings(n_bins=5, special_values=SPECIALS))
-    columns = [c for c in FEATURES if c in tables]
-    encode = lambda d: woe.woe_transform(d.select(*columns, "bad"), tables)
-    settings = scorecard.StepwiseSettings(n_min=2, n_max=5, random_state=1)
-    return scorecard.stepwise(encode(train), "bad", columns, encode(test), settings)
+    with kept(df.where("yr <= 1999").select(*FEATURES, "yr", "bad")) as df:
+        train, test, _ = samples(df)
+        tables = binning.fit(train, "bad", FEATURES, Settings(n_bins=5, special_values=SPECIALS))
+        columns = [c for c in FEATURES if c in tables]
+        encode = lambda d: woe.woe_transform(d.select(*columns, "bad"), tables)
+        settings = scorecard.StepwiseSettings(n_min=2, n_max=5, random_state=1)
+        return scorecard.stepwise(encode(train), "bad", columns, encode(test), settings)
 
 
 # Rules
@@ -689,13 +692,13 @@ def monitor_score_psi(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 def _tracked(df: DataFrame) -> monitoring.Monitor:
-    own = _watched(df)
-    train = own.where("yr <= 1998")
-    tables = binning.fit(train, "bad", ["qty"], Settings(manual_cutoffs=QTY_CUTS, special_values=SPECIALS))
-    out = monitoring.baseline(train, "score", "bad", tables)
-    for year in (1999, 2000, 2001):
-        out.track(own.where(F.col("yr") == year), str(year), "score", "bad")
-    return out
+    with kept(_watched(df).select("yr", "bad", "score", "qty")) as own:
+        train = own.where("yr <= 1998")
+        tables = binning.fit(train, "bad", ["qty"], Settings(manual_cutoffs=QTY_CUTS, special_values=SPECIALS))
+        out = monitoring.baseline(train, "score", "bad", tables)
+        for year in (1999, 2000, 2001):
+            out.track(own.where(F.col("yr") == year), str(year), "score", "bad")
+        return out
 
 
 @query(f"""WITH b AS (SELECT yr, CASE WHEN qty IS NULL THEN 6 WHEN qty = -999 THEN 5 ELSE len(list_filter({list(QTY_CUTS)}, lambda e: e < qty)) END AS bin FROM loans), e0 AS (SELECT bin, count(*) AS expected FROM b WHERE yr <= 1998 GROUP BY bin), a0 AS (SELECT yr, bin, count(*) AS actual FROM b WHERE yr >= 1999 GROUP BY ALL),
@@ -717,12 +720,13 @@ def monitor_alerts(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 @query()
 def diagnose_issues(spark: SparkSession, df: DataFrame) -> DataFrame:
-    own = scored(df)
-    found = {r.split: r for r in metrics.ks_auc(own, F.col("p"), "bad", ["split"]).collect()}
-    psi = dict(metrics.score_psi(own, "p", metrics.score_edges(own.where("split = 'train'"), "p"), ["split"], F.col("split") == "train").collect())
-    result = {"trn_ks": found["train"].ks, "test_ks": found["test"].ks, "oot_ks": found["oot"].ks, "trn_auc": found["train"].auc, "test_auc": found["test"].auc, "psi": psi["test"], "psi_oot": psi["oot"], "n_vars": 3}
-    tables = binning.fit(df, "bad", FEATURES, Settings(special_values=SPECIALS))
-    return diagnosis.diagnose(result, tables=tables, bad_rate=0.1).frame(spark).withColumn("culprit_vars", F.array_join("culprit_vars", ","))
+    with kept(df.select(*FEATURES, "yr", "bad")) as df:
+        own = scored(df)
+        found = {r.split: r for r in metrics.ks_auc(own, F.col("p"), "bad", ["split"]).collect()}
+        psi = dict(metrics.score_psi(own, "p", metrics.score_edges(own.where("split = 'train'"), "p"), ["split"], F.col("split") == "train").collect())
+        result = {"trn_ks": found["train"].ks, "test_ks": found["test"].ks, "oot_ks": found["oot"].ks, "trn_auc": found["train"].auc, "test_auc": found["test"].auc, "psi": psi["test"], "psi_oot": psi["oot"], "n_vars": 3}
+        tables = binning.fit(df, "bad", FEATURES, Settings(special_values=SPECIALS))
+        return diagnosis.diagnose(result, tables=tables, bad_rate=0.1).frame(spark).withColumn("culprit_vars", F.array_join("culprit_vars", ","))
 
 
 @query("""SELECT 'dev' AS part, count(*) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM loans WHERE apply_date >= TIMESTAMP '1996-01-01' AND apply_date <= TIMESTAMP '1998-12-31'
@@ -761,6 +765,7 @@ def bins_left_closed(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 @query()
 def chain_end_to_end(spark: SparkSession, df: DataFrame) -> DataFrame:
-    train, test, oot = samples(df)
-    chain = Chain().read(train, target="bad", test=test, oot=oot).prefilter(iv_range=(None, None)).bin(n_bins=5, special_values=SPECIALS).refine(iv_range=(0.001, None)).transform().select(n_min=2, n_max=5, random_state=1).fit().scorecard()
-    return chain.evaluate_frame()
+    with kept(df) as df:
+        train, test, oot = samples(df)
+        chain = Chain().read(train, target="bad", test=test, oot=oot).prefilter(iv_range=(None, None)).bin(n_bins=5, special_values=SPECIALS).refine(iv_range=(0.001, None)).transform().select(n_min=2, n_max=5, random_state=1).fit().scorecard()
+        return chain.evaluate_frame()
