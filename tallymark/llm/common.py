@@ -30,7 +30,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and kept as Parquet in the shared folder: lineage ends here, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table that nothing reads any more, recomputation of lost partitions included."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def uniform(*key: Column | str, seed: int = 0) -> Column:

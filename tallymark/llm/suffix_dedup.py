@@ -5,13 +5,15 @@ least hash (the leftmost of equals), and equal passages have their anchors at th
 sorted, about one in 35, each up to the end of the last passage that it anchors and followed by the bytes before it down to the
 first such passage: equal strings mean that all passages of two anchors are equal.
 
-1. Hashes of all anchors are counted; an anchor whose hash occurs once anchors no repeated passage and is left out.
+1. Hashes of all anchors are counted; an anchor whose hash occurs once anchors no repeated passage and is left out. The hashes that
+   repeat go to the tasks as a bitmap of their first bits, of 16 bits each up to 2 ** MOST_BITS in all: what it lets through
+   too much costs work, never a result.
 2. Each task sorts its suffixes into runs, keeps the earliest of equal ones, and sends the runs, front-coded, to ranges of the order
    (splitters are sampled grams, so suffixes with the same gram meet).
 3. A loser tree merges the runs of a range without comparing known prefixes again. Equal strings give up all passages but the
    earliest's. Among different strings with one gram, passages are compared one by one; where a gram has more than
    GROUP_LIMIT strings, its passages go on as rows, by a 128-bit hash, so that no task holds them.
-4. The ranges of bytes are gathered by document and cut out.
+4. The ranges of bytes, joined in each task where they touch, are gathered by document and cut out.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .runs import Entry, decode, encode, merge
 from .shingles import BLOCK_BYTES, U64, _powers, mix
 
 LENGTH, GRAM = 100, 32
 RUN_ENTRIES, GROUP_LIMIT = 60_000, 50_000
-KNOWN_HASHES = 4_000_000
+BITS_EACH, MOST_BITS = 16, 29
 SAMPLED, PER_TASK, RANGE_ENTRIES = 16_384, 256, 250_000
 NO_ID = -(1 << 63)
 FOUND = "doc long, row long, start long, end long, h1 long, h2 long"
@@ -93,6 +95,33 @@ def _anchor_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"hash": np.array(list(sample), U64).view(np.int64), "n": 0, "gram": list(sample.values())})
 
 
+def joined(spans: np.ndarray) -> np.ndarray:
+    """Rows (doc, row, start, end) in order, those of one text that touch or overlap made one."""
+    if not len(spans):
+        return spans
+    spans = spans[np.lexsort((spans[:, 2], spans[:, 1], spans[:, 0]))]
+    new = np.concatenate([[True], (spans[1:, :2] != spans[:-1, :2]).any(axis=1)])
+    text = np.cumsum(new) - 1
+    reach = int(spans[:, 3].max()) + 1
+    upto = np.maximum.accumulate(spans[:, 3] + text * reach) - text * reach  # the end so far in the text
+    first = np.flatnonzero(new | np.concatenate([[True], spans[1:, 2] > upto[:-1]]))
+    out = spans[first].copy()
+    out[:, 3] = upto[np.append(first[1:], len(spans)) - 1]
+    return out
+
+
+def _bitmap(repeated: DataFrame, n: int, most: int) -> tuple[int, np.ndarray]:
+    """(bits, map): whether a hash starts with the `bits` bits of one of n repeated hashes; built on the executors."""
+    bits = max(15, min(most, (BITS_EACH * max(1, n)).bit_length()))
+    first = F.shiftrightunsigned("hash", 64 - bits)
+    rows = repeated.select(F.shiftright(first, 15).alias("part"), F.bitmap_bit_position(first % 32768 + 1).alias("at"))
+    held = rows.groupBy("part").agg(F.bitmap_construct_agg("at").alias("map")).toArrow()
+    out = np.zeros((1 << (bits - 15), 4096), np.uint8)
+    for part, own in zip(held["part"].to_pylist(), held["map"], strict=True):
+        out[part] = np.frombuffer(own.as_py(), np.uint8)
+    return bits, out.ravel()
+
+
 def _runs(known, splitters: list[bytes]):
     """Front-coded runs of the task's suffixes with repeated anchors, a row for each range; and ranges already known to repeat."""
     bounds = np.array(splitters, dtype=object)
@@ -112,23 +141,17 @@ def _runs(known, splitters: list[bytes]):
             if b > a:
                 yield int(cuts[a]), encode(kept[a:b]), None
         if again:
-            yield again[0][0] % (len(splitters) + 1), b"", np.array(again, np.int64).tobytes()
+            yield again[0][0] % (len(splitters) + 1), b"", joined(np.array(again, np.int64)).tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shared = known.value if known else None
+        bits, held = known.value
         entries: list[Entry] = []
         for frame in frames:
             docs, rows = frame["doc"].tolist(), frame["row"].tolist()
             for group, raw in text_blocks(frame["text"].tolist()):
                 of, hashes, place, first, last = anchors(raw)
-                signed = hashes.view(np.int64)
-                if shared is not None:
-                    at = np.minimum(np.searchsorted(shared, signed), max(0, len(shared) - 1))
-                    repeated = shared[at] == signed if len(shared) else np.zeros(len(signed), bool)
-                else:
-                    mine = [set(x) if x is not None else set() for x in frame["known"].iloc[group]]
-                    repeated = np.array([h in mine[t] for t, h in zip(of.tolist(), signed.tolist(), strict=True)], bool)
-                keep = np.flatnonzero(repeated)
+                at = hashes >> U64(64 - bits)
+                keep = np.flatnonzero(held[at >> U64(3)] >> (at & U64(7)).astype(np.uint8) & 1)
                 for t, p, s1, s2 in zip(of[keep].tolist(), place[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
                     text, end = raw[t], s2 + LENGTH
                     entries.append((text[p:end] + text[s1:p], end - p, docs[group[t]], rows[group[t]], p))
@@ -212,28 +235,38 @@ def _merged(limit: int):
         yield from close_group()
 
     def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, runs, out = None, [], []
+        part, runs, out, spans = None, [], [], []
         columns = [x.split()[0] for x in FOUND.split(", ")]
 
         def ready(force: bool = False) -> Iterator[pd.DataFrame]:
-            if out and (force or len(out) >= 100_000):
-                yield pd.DataFrame(out, columns=columns, dtype=object)
+            """What was found, spans of one text joined as far as they are at hand."""
+            if len(out) + len(spans) < 200_000 and not force:
+                return
+            if spans:
+                own = pd.DataFrame(joined(np.array(spans, np.int64)), columns=columns[:4])
+                yield own.assign(h1=None, h2=None)
+                spans.clear()
+            if out:
+                yield pd.DataFrame(out, columns=columns)
                 out.clear()
 
+        def add(row: tuple) -> None:
+            spans.append(row[:4]) if row[4] is None else out.append(row)
+
         for frame in frames:
             for p, run, again in frame.itertuples(index=False):
                 if p != part:
                     for row in resolve(runs):
-                        out.append(row)
+                        add(row)
                         yield from ready()
                     part, runs = p, []
                 if run:
                     runs.append(run)
                 if again is not None:
-                    out.extend((*map(int, x), None, None) for x in np.frombuffer(again, np.int64).reshape(-1, 4))
+                    spans.extend(map(tuple, np.frombuffer(again, np.int64).reshape(-1, 4).tolist()))
                     yield from ready()
         for row in resolve(runs):
-            out.append(row)
+            add(row)
             yield from ready()
         yield from ready(True)
 
@@ -248,8 +281,8 @@ def keyed(docs: DataFrame, text: str, id_: str) -> DataFrame:
     return written(own.select("doc", F.monotonically_increasing_id().alias("row"), "text"), "rows")
 
 
-def repeated_spans(own: DataFrame, group_limit: int = GROUP_LIMIT, known_hashes: int = KNOWN_HASHES) -> DataFrame:
-    """doc, row, spans (start, end; maximal, in order) of the bytes to remove, for documents that have any."""
+def repeated_spans(own: DataFrame, group_limit: int = GROUP_LIMIT, most_bits: int = MOST_BITS) -> DataFrame:
+    """doc, row, start, end of bytes to remove; spans of one document may touch or overlap."""
     spark = own.sparkSession
     found = written(own.select("text").mapInPandas(_anchor_rows, "hash long, n long, gram binary"), "anchors")
     repeated = written(found.groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1"), "repeated")
@@ -258,22 +291,11 @@ def repeated_spans(own: DataFrame, group_limit: int = GROUP_LIMIT, known_hashes:
     sample = found.where("gram IS NOT NULL").select("hash", "gram").orderBy("hash").limit(SAMPLED).collect()
     grams = sorted({bytes(r.gram) for r in sample})
     splitters = sorted({grams[len(grams) * i // parts] for i in range(1, parts)}) if grams else []
+    known = spark.sparkContext.broadcast(_bitmap(repeated, n, most_bits))
+    discard(found)
+    discard(repeated)
 
-    known, source = None, own
-    if n <= known_hashes:
-        known = spark.sparkContext.broadcast(np.sort(repeated.select("hash").toArrow()["hash"].to_numpy()))
-    else:  # too many to send everywhere: each document gets its own
-        def own_hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for group, raw in text_blocks(frame["text"].tolist()):
-                    of, hashes, *_ = anchors(raw)
-                    of = np.array(group)[of]
-                    yield pd.DataFrame({"doc": frame["doc"].to_numpy()[of], "row": frame["row"].to_numpy()[of], "hash": hashes.view(np.int64)})
-
-        per_doc = own.mapInPandas(own_hashes, "doc long, row long, hash long").join(repeated.select("hash"), "hash")
-        source = own.join(per_doc.groupBy("doc", "row").agg(F.collect_set("hash").alias("known")), ["doc", "row"], "left")
-
-    runs = source.mapInPandas(_runs(known, splitters), "part int, run binary, again binary")
+    runs = own.mapInPandas(_runs(known, splitters), "part int, run binary, again binary")
     runs = runs.repartition(parts, "part").sortWithinPartitions("part")
     out = written(runs.mapInPandas(_merged(group_limit), FOUND), "spans")
     passages = out.where("h1 IS NOT NULL")
@@ -282,15 +304,7 @@ def repeated_spans(own: DataFrame, group_limit: int = GROUP_LIMIT, known_hashes:
         first = passages.groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "start")).alias("first"))
         later = passages.join(first, ["h1", "h2"]).where(F.struct("doc", "row", "start") != F.col("first"))
         spans = spans.union(later.select("doc", "row", "start", "end"))
-    joined = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("start", "end"))),
-        F.array().cast("array<struct<start: bigint, end: bigint>>"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(
-            F.slice(done, 1, F.size(done) - 1),
-            F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))),
-        )).otherwise(F.concat(done, F.array(s))),
-    )
-    return written(spans.groupBy("doc", "row").agg(joined.alias("spans")), "removed")
+    return spans
 
 
 def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,12 +313,13 @@ def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, text, spans in zip(frame["doc"], frame["text"], frame["spans"], strict=True):
             raw = text.encode()
             kept, at, removed = [], 0, 0
-            for s in spans if spans is not None else ():
-                kept.append(raw[at : s["start"]])
-                removed += s["end"] - s["start"]
-                at = s["end"]
+            own = [] if spans is None else joined(np.array([(0, 0, s["start"], s["end"]) for s in spans], np.int64)).tolist()
+            for _, _, start, end in own:
+                kept.append(raw[at:start])
+                removed += end - start
+                at = end
             kept.append(raw[at:])
-            rows.append((doc, len(raw), removed, 0 if spans is None else len(spans), b"".join(kept)))
+            rows.append((doc, len(raw), removed, len(own), b"".join(kept)))
         yield pd.DataFrame(rows, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
@@ -316,7 +331,7 @@ def without_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", **
     comes before all others. Texts shorter than LENGTH lose nothing; an empty table gives an empty result.
     """
     own = keyed(docs, text, id_)
-    spans = repeated_spans(own, **options)
-    out = own.join(spans, ["doc", "row"], "left").select("doc", "text", "spans")
+    spans = repeated_spans(own, **options).groupBy("doc", "row").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    out = own.join(spans.hint("merge"), ["doc", "row"], "left").select("doc", "text", "spans")  # by shuffle at every size
     out = out.mapInPandas(_cut, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(F.nullif("doc", F.lit(NO_ID)).alias(id_), "n_bytes", "n_removed", "n_spans", "kept")

@@ -49,7 +49,7 @@ def texts(seed):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"group_limit": 2}, {"known_hashes": 0}])
+@pytest.mark.parametrize("options", [{}, {"group_limit": 2}, {"most_bits": 15}])
 def test_equals_brute_force(spark, options):
     own = texts(3)
     docs = spark.createDataFrame([(i * 7 - 100, t, 1) for i, t in enumerate(own)], "doc_id long, text string, spans int").repartition(5)
@@ -87,3 +87,10 @@ def test_digest_is_of_the_remaining_bytes(spark):
     docs = spark.createDataFrame([(1, "short")], "doc_id long, text string")
     row = suffix_dedup.without_repeats(docs).first()
     assert sha256(row.kept).hexdigest() == sha256(b"short").hexdigest()
+
+
+def test_spans_join_where_they_touch():
+    import numpy as np
+
+    rows = [(2, 0, 5, 9), (1, 0, 0, 4), (1, 0, 4, 6), (1, 0, 9, 30), (1, 0, 10, 12), (1, 0, 31, 40), (1, 1, 0, 2), (2, 0, 1, 3)]
+    assert suffix_dedup.joined(np.array(rows)).tolist() == [[1, 0, 0, 6], [1, 0, 9, 30], [1, 0, 31, 40], [1, 1, 0, 2], [2, 0, 1, 3], [2, 0, 5, 9]]
