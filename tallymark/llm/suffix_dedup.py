@@ -6,7 +6,7 @@ sorted, about one in 35, each up to the end of the last passage that it anchors
 first such passage: equal strings mean that all passages of two anchors are equal.
 
 1. Hashes of all anchors are counted; an anchor whose hash occurs once anchors no repeated passage and is left out. The hashes that
-   repeat go to the tasks as a bitmap of their first bits, of 16 bits each up to 2 ** MOST_BITS in all: what it lets through
+   repeat go to the tasks as a bitmap of their last bits, of 16 bits each up to 2 ** MOST_BITS in all: what it lets through
    too much costs work, never a result.
 2. Each task sorts its suffixes into runs, keeps the earliest of equal ones, and sends the runs, front-coded, to ranges of the order
    (splitters are sampled grams, so suffixes with the same gram meet).
@@ -111,10 +111,13 @@ def joined(spans: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(repeated: DataFrame, n: int, most: int) -> tuple[int, np.ndarray]:
-    """(bits, map): whether a hash starts with the `bits` bits of one of n repeated hashes; built on the executors."""
+    """(bits, map): whether a hash has the last `bits` bits of one of n repeated hashes; built on the executors.
+
+    The last ones, since anchors are the least hashes of their passages and so share their first bits.
+    """
     bits = max(15, min(most, (BITS_EACH * max(1, n)).bit_length()))
-    first = F.shiftrightunsigned("hash", 64 - bits)
-    rows = repeated.select(F.shiftright(first, 15).alias("part"), F.bitmap_bit_position(first % 32768 + 1).alias("at"))
+    last = F.col("hash").bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    rows = repeated.select(F.shiftright(last, 15).alias("part"), F.bitmap_bit_position(last % 32768 + 1).alias("at"))
     held = rows.groupBy("part").agg(F.bitmap_construct_agg("at").alias("map")).toArrow()
     out = np.zeros((1 << (bits - 15), 4096), np.uint8)
     for part, own in zip(held["part"].to_pylist(), held["map"], strict=True):
@@ -150,7 +153,7 @@ def _runs(known, splitters: list[bytes]):
             docs, rows = frame["doc"].tolist(), frame["row"].tolist()
             for group, raw in text_blocks(frame["text"].tolist()):
                 of, hashes, place, first, last = anchors(raw)
-                at = hashes >> U64(64 - bits)
+                at = hashes & U64((1 << bits) - 1)
                 keep = np.flatnonzero(held[at >> U64(3)] >> (at & U64(7)).astype(np.uint8) & 1)
                 for t, p, s1, s2 in zip(of[keep].tolist(), place[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
                     text, end = raw[t], s2 + LENGTH
