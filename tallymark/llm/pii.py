@@ -39,21 +39,69 @@ PROPOSED = [
 ]
 KINDS = [kind for kind, _, _ in BASE + PROPOSED]
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
-FOUND = "array<struct<start: int, end: int, value: string>>"
+FOUND = "array<struct<start: int, end: int, value: string, before: string, after: string>>"
+STEP, NEAR = 256, 16
+"""Numbers summed one by one between running sums that are kept; pieces of text that context is taken from."""
 SPANS = "array<struct<start: int, no: int, end: int, kind: string>>"
 
 
-def marked(text: Column, need: str, pattern: str) -> Column:
-    """Matches of the pattern as (start, end, value), in order; text: without MARK."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: a lambda computes what it refers to again for each element, unless that is a variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """start, and what step makes of it and the first STEP, 2 STEP, ... values."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STEP).cast("int")), lambda i: F.aggregate(F.slice(values, i * STEP + 1, F.lit(STEP)), start, step))
+    return F.aggregate(parts, F.array(start), lambda done, own: F.concat(done, F.array(step(F.element_at(done, -1), own))))
+
+
+def _upto(values: Column, running: Column, n: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """What step makes of the first n values."""
+    part = F.floor(n / STEP).cast("int")
+    return F.aggregate(F.slice(values, part * STEP + 1, n - part * STEP), F.get(running, part), step)
+
+
+def marked(text: Column, need: str, pattern: str, context: bool = False) -> Column:
+    """Matches of the pattern as (start, end, value, before, after), in order; text: without MARK. The last two, up to CONTEXT
+    characters before (of the NEAR pieces between marks) and one after, only with context. Time is in proportion to the text's length."""
+    plus = lambda a, n: a + n
+    none = F.lit(None).cast("string")
+
+    def matches(pieces: Column, lengths: Column, sums: Column) -> Column:
+        def match(i: Column) -> Column:
+            start = _upto(lengths, sums, i, plus)
+            before = F.right(F.array_join(F.slice(pieces, F.greatest(i - (NEAR - 1), F.lit(1)), F.least(i, F.lit(NEAR))), ""), F.lit(CONTEXT)) if context else none
+            after = F.left(F.element_at(pieces, i + 2), F.lit(1)) if context else none
+            value = F.element_at(pieces, i + 1)
+            return let(start, lambda at: F.struct(at.alias("start"), (at + F.element_at(lengths, i + 1)).alias("end"), value.alias("value"), before.alias("before"), after.alias("after")))
+
+        return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), match)
+
+    none_found = F.array().cast(FOUND)
     pieces = F.split(F.regexp_replace(text, f"({pattern})", f"{MARK}$1{MARK}"), MARK)
-    lengths = F.transform(pieces, F.length)
-    matches = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    by_piece = lambda p: let(F.transform(p, F.length), lambda n: let(_running(n, F.lit(0), plus), lambda sums: matches(p, n, sums)))
+    return F.when(text.rlike(need), let(pieces, lambda p: F.when(F.size(p) > 1, by_piece(p)).otherwise(none_found))).otherwise(none_found)
+
+
+def _further(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
 
-    def match(i: Column) -> Column:
-        start = F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, n: a + n)
-        return F.struct(start.alias("start"), (start + F.element_at(lengths, i + 1)).alias("end"), F.element_at(pieces, i + 1).alias("value"))
+def overlapping(spans: Column) -> Callable[[Column], Column]:
+    """A test of whether a candidate overlaps one of the spans, which are in order: a search among their starts, and the furthest end so far."""
 
-    return F.when(text.rlike(need), F.transform(matches, match)).otherwise(F.array().cast(FOUND))
+    def test(c: Column, starts: Column, ends: Column, furthest: Column) -> Column:
+        n = F.aggregate(F.array(*(F.lit(1 << k) for k in reversed(range(27)))), F.lit(0), lambda at, by: F.when(F.get(starts, at + by - 1) < c["end"], at + by).otherwise(at))
+        return let(n, lambda k: (k > 0) & (_upto(ends, furthest, k, _further) > c["start"]))
+
+    def overlaps(candidates: Column, keep: Callable[[Column, Column], Column]) -> Column:
+        few = F.filter(candidates, lambda c: keep(c, F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
+        starts, ends = F.transform(spans, lambda b: b["start"]), F.transform(spans, lambda b: b["end"])
+        many = let(starts, lambda s: let(ends, lambda e: let(_running(e, F.lit(0), _further), lambda f: F.filter(candidates, lambda c: keep(c, test(c, s, e, f))))))
+        return F.when(F.size(spans) <= STEP, few).otherwise(many)
+
+    return overlaps
 
 
 def digits(value: Column) -> Column:
@@ -94,11 +142,10 @@ def holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def features(text: Column, c: Column) -> list[Column]:
-    """Format and context of a candidate (start, end, value), as numbers."""
+def features(c: Column) -> list[Column]:
+    """Format and context of a candidate, as numbers."""
     value, number = c["value"], digits(c["value"])
-    before = F.lower(F.substring(text, F.greatest(c["start"] - CONTEXT, F.lit(0)) + 1, F.least(c["start"], F.lit(CONTEXT))))
-    after = F.substring(text, c["end"] + 1, F.lit(1))
+    before, after = F.lower(c["before"]), c["after"]
     yes = lambda condition: F.when(condition, 1.0).otherwise(0.0)
     return [
         F.length(number).cast("double"),
@@ -122,7 +169,8 @@ def features(text: Column, c: Column) -> list[Column]:
 def with_candidates(docs: DataFrame, text: str) -> DataFrame:
     """docs with _text and an array of matches for each kind."""
     docs = docs.withColumn("_text", F.translate(F.coalesce(F.col(text), F.lit("")), MARK, NOT_MARK))
-    return docs.withColumns({f"_{kind}": marked(F.col("_text"), need, pattern) for kind, need, pattern in BASE + PROPOSED})
+    found = {f"_{kind}": marked(F.col("_text"), need, pattern) for kind, need, pattern in BASE}
+    return docs.withColumns(found | {f"_{kind}": marked(F.col("_text"), need, pattern, True) for kind, need, pattern in PROPOSED})
 
 
 def training_texts(rows: int = TRAINING_ROWS, seed: int = 9) -> list[tuple[str, str, int]]:
@@ -163,7 +211,7 @@ def fitted(spark: SparkSession) -> dict[str, tuple[Boosted, float]]:
     rows = spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, text, y, i)")
     rows = with_candidates(rows, "text")
     own = F.coalesce(*(F.when(F.col("kind") == k, F.col(f"_{k}")) for k, _, _ in PROPOSED))
-    measured = rows.select("kind", "y", "i", F.transform(own, lambda c: F.array(*features(F.col("_text"), c))).alias("x")).collect()
+    measured = rows.select("kind", "y", "i", F.transform(own, lambda c: F.array(*features(c))).alias("x")).collect()
     out = {}
     for kind, _, _ in PROPOSED:
         mine = sorted((i, y, x[0]) for k, y, i, x in measured if k == kind and len(x) == 1)
@@ -181,20 +229,22 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     models = fitted(docs.sparkSession)
     found = with_candidates(docs, text)
 
-    def spans(kind: str, keep: Callable[[str, Column], Column]) -> Column:
+    def spans(kind: str, kept: Column) -> Column:
         no = F.lit(KINDS.index(kind))
-        kept = F.filter(f"_{kind}", lambda c: keep(kind, c))
         return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), no.alias("no"), c["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    base = F.array_sort(F.concat(*(spans(k, lambda kind, c: holds(kind, c["value"])) for k, _, _ in BASE)))
+    def valid(kind: str) -> Column:
+        return F.filter(f"_{kind}", lambda c: holds(kind, c["value"]))
+
+    base = F.array_sort(F.concat(*(spans(k, valid(k)) for k, _, _ in BASE)))
     found = found.withColumn("base", base)
+    select = overlapping(F.col("base"))
 
-    def selected(kind: str, c: Column) -> Column:
+    def selected(kind: str) -> Column:
         trees, least = models[kind]
-        clear = ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.when(clear, trees.column(features(F.col("_text"), c)) >= least).otherwise(F.lit(False))
+        return select(F.col(f"_{kind}"), lambda c, overlaps: F.when(overlaps, F.lit(False)).otherwise(trees.column(features(c)) >= least))
 
-    more = [spans(k, selected) for k, _, _ in PROPOSED if models[k][1] != float("inf")]
+    more = [spans(k, selected(k)) for k, _, _ in PROPOSED if models[k][1] != float("inf")]
     found = found.withColumn("spans", F.array_sort(F.concat("base", *more)))
     return found.drop("_text", *(f"_{k}" for k in KINDS))
 

@@ -52,6 +52,23 @@ def test_base_spans_equal_the_plain_rules(spark):
         assert [tuple(s) for s in spans] == sorted(tuple(s) for s in spans)
 
 
+def test_many_matches_in_one_text(spark):
+    text = "".join(f"u{i}@ex.org tel {i % 1000:03d}-555-{i % 10000:04d}, " for i in range(25_000))
+    row = pii.with_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [tuple(s) for s in row.base] == brute(text) and len(row.base) == 25_000
+    places = [m.span() for m in re.finditer(r"[0-9]{3}-555-[0-9]{4}", text)]
+    assert [(s.start, s.end) for s in row.spans if s.kind == "number"] == places
+
+
+def test_overlaps_are_found_among_many_spans(spark):
+    r = random.Random(4)
+    spans = sorted((a, a + r.choice([1, 2, 3, 400])) for a in (r.randint(0, 9000) for _ in range(700)))
+    candidates = [(a, a + r.randint(1, 4)) for a in (r.randint(0, 9500) for _ in range(400))]
+    kind = "array<struct<start: int, end: int>>"
+    row = spark.createDataFrame([(spans, candidates)], f"spans {kind}, own {kind}").select(pii.overlapping(pii.F.col("spans"))(pii.F.col("own"), lambda c, o: o)).first()[0]
+    assert [tuple(x) for x in row] == [c for c in candidates if any(a < c[1] and c[0] < b for a, b in spans)]
+
+
 def test_trees_add_spans_that_context_supports(spark):
     texts = [
         "please call me at 212-555-0187 today", "see invoice 3.1.22 of the list", "write to maria (at) example (dot) com now", "iban DE89370400440532013000 thanks",
