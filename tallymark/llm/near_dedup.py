@@ -270,15 +270,21 @@ def classes(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFra
     weights = sc.broadcast(idf(own.select("text")))
     signed = own.select("node", "text").mapInPandas(_signed(weights), "node binary, bands array<long>")
     nodes = written(signed.groupBy("node").agg(F.max("bands").alias("bands")), "nodes")
+    copies = written(own.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n")), "copies")
 
     rows = nodes.select("node", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").drop("last")
     star = rows.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     candidates = components(star)
     sizes = candidates.groupBy("root").agg((F.count("*") <= WHOLE).alias("small"))
-    candidates = candidates.join(nodes, "node").join(sizes, "root")
+    candidates = candidates.join(nodes, "node").join(sizes, "root").join(copies.select("node", F.col("id").alias("speaker")), "node")
     candidates = written(candidates, "candidates")
 
+    def texts_of(found: DataFrame) -> DataFrame:
+        """found with the text of each node, from the row of least id alone: copies meet in no task."""
+        rows = own.select("id", "node", "text").withColumnRenamed("node", "own")
+        return rows.join(found, (rows["own"] == found["node"]) & rows["id"].eqNullSafe(found["speaker"])).drop("own", "id", "speaker")
+
     edges = None
     for turn in range(2):
         mine = candidates if turn == 0 else candidates.where(~F.col("small"))
@@ -287,23 +293,21 @@ def classes(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFra
             continue
         half = BANDS // 2
         order = F.col("bands") if turn == 0 else F.concat(F.slice("bands", half + 1, half), F.slice("bands", 1, half))
-        mine = mine.select("node", "root", "small", F.when(~F.col("small"), order).alias("order"))
+        mine = mine.select("node", "root", "small", "speaker", F.when(~F.col("small"), order).alias("order"))
         if count <= BROADCAST_ROWS:
             mine = F.broadcast(mine)
-        with_text = own.select("node", "text").join(mine, "node")
-        placed = with_text.repartitionByRange("root", "order").sortWithinPartitions("root", "order", "node")
+        placed = texts_of(mine).repartitionByRange("root", "order").sortWithinPartitions("root", "order", "node")
         found = placed.select("root", "node", "small", "text").mapInPandas(_verified(weights), "a binary, b binary")
         edges = found if edges is None else edges.union(found)
     roots = components(edges) if edges is not None else candidates.select("node", "root")
-    large = candidates.where(~F.col("small")).select("node", "root")
+    large = candidates.where(~F.col("small")).select("node", "root", "speaker")
     if large.limit(1).count():
-        large = written(own.select("node", "text").join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large, "node").dropDuplicates(["node"]), "large")
+        large = written(texts_of(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large).dropDuplicates(["node"]), "large")
         links = [roots.select(F.col("node").alias("a"), F.col("root").alias("b")), *_rest_links(large, roots, weights)]
         roots = components(reduce(DataFrame.union, links))
 
     ids = own.select("id", "node")
-    per_node = ids.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    per_node = per_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per_node = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     found = per_node.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
     per_node = per_node.select("node", "root").join(found, "root").select("node", "class_id", "class_size")
     return ids.join(per_node, "node").select(F.col("id").alias(id_), F.col("node").alias("_node"), "class_id", "class_size")
