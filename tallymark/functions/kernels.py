@@ -229,3 +229,17 @@ def tree_cuts(rows: list[Row], max_leaves: int | None = None, max_depth: int | N
         leaves += [(lo, at, depth + 1), (at, hi, depth + 1)]
         cuts.append(float((value[at - 1] + value[at]) / 2))
     return sorted(cuts)
+
+
+def vifs(corr: np.ndarray) -> list[float]:
+    """1 / (1 - R^2) of each variable on the others, from their correlations; infinite for a linear function of the others.
+
+    Directions of the others that hardly vary (by 1e-10) are left out, since rounding decides what a regression says of them.
+    """
+    out = []
+    for i in range(len(corr)):
+        others = np.arange(len(corr)) != i
+        r = corr[others, i]
+        rest = 1 - float(r @ np.linalg.pinv(corr[np.ix_(others, others)], rcond=1e-10, hermitian=True) @ r) if others.any() else 1.0
+        out.append(1 / rest if rest > 1e-10 else INF)
+    return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bin_index, is_numeric, long_form, psi_term, usable, without_nan
+from ..functions.kernels import vifs
 from .passes import MAIN, Survey, histograms, kept
 from .profile import MAX_CATEGORIES, as_text, distinct_up_to, number_roles, quantile_edges, roles
 
@@ -163,7 +164,7 @@ def _kendall(cells: DataFrame) -> DataFrame:
 
 
 def vif(df: DataFrame, columns: list[str], threshold: float = 10.0) -> DataFrame:
-    """variable, vif (4 digits), flag over complete rows: the diagonal of the inverse correlation matrix. Constant columns are left out.
+    """variable, vif (4 digits), flag over complete rows, from the correlation matrix. Constant columns are left out.
 
     The matrix is the only thing that reaches the driver; all of it comes from one aggregate.
     """
@@ -177,9 +178,6 @@ def vif(df: DataFrame, columns: list[str], threshold: float = 10.0) -> DataFrame
     used = [c for c, v in zip(columns, row, strict=False) if v]
     at = dict(zip(pairs, list(row)[len(columns) :], strict=True))
     matrix = np.array([[1.0 if a == b else at.get((a, b), at.get((b, a))) for b in used] for a in used])
-    try:
-        found = [float(x) for x in np.diag(np.linalg.inv(matrix))] if used else []
-    except np.linalg.LinAlgError:
-        found = [float("inf")] * len(used)
+    found = vifs(matrix) if used else []
     out = sorted(((c, round(v, 4), "high" if v > threshold else "ok") for c, v in zip(used, found, strict=True)), key=lambda r: (-r[1], r[0]))
     return df.sparkSession.createDataFrame(out, "variable string, vif double, flag string")

@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import bin_index, without_nan
-from ..functions.kernels import INF, tree_cuts
+from ..functions.kernels import INF
 from .binning import BinTable
+from .passes import Survey, kept
 from .profile import quantile_edges
+from .trees import grow
 
 METHODS = ("exhaustive", "tree", "apriori")
 
@@ -103,14 +105,15 @@ def _passing(rules: list[Rule], n: int, bad: int, s: RuleSettings) -> list[Rule]
 
 
 def exhaustive(df: DataFrame, target: str, edges: dict[str, list[float]], depth: int, n: int, least: float = 0.0, most: float = 1.0) -> list[Rule]:
-    """All cells of up to `depth` features, by one aggregate with grouping sets; rows with a NULL in a cell's features are in none.
+    """All cells of up to `depth` features, by grouping sets of the rows summed by all bins; rows with a NULL in a cell's features are in none.
 
-    Cells with too few or too many rows go before they are collected.
+    So the sets multiply distinct combinations of bins, not rows. Cells with too few or too many rows go before they are collected.
     """
     features = sorted(edges)
     binned = df.select(*(bin_index(F.col(c).cast("double"), edges[c]).alias(c) for c in features), F.col(target).alias("_y"))
     sets = [s for k in range(1, depth + 1) for s in combinations(features, k)]
-    cells = binned.groupingSets([[F.col(c) for c in s] for s in sets], *features).agg(F.grouping_id().alias("_set"), F.count("*").alias("_hit"), F.sum("_y").alias("_bad"))
+    summed = binned.groupBy(*features).agg(F.count("*").alias("_n"), F.sum("_y").alias("_b"))
+    cells = summed.groupingSets([[F.col(c) for c in s] for s in sets], *features).agg(F.grouping_id().alias("_set"), F.sum("_n").alias("_hit"), F.sum("_b").alias("_bad"))
     cells = cells.where((F.col("_hit") >= least * n) & (F.col("_hit") <= most * n))
     out = []
     for row in cells.collect():
@@ -124,27 +127,18 @@ def exhaustive(df: DataFrame, target: str, edges: dict[str, list[float]], depth:
 
 
 def by_tree(df: DataFrame, target: str, features: list[str], depth: int, n: int) -> list[Rule]:
-    """The leaves of a tree on each feature's histogram of up to 1024 quantile bins, missing values at the median."""
-    edges = quantile_edges(df, features, 1024)
+    """The leaves of a tree on each feature over its distinct values, missing values at the median; they count in no rule."""
+    with kept(df, df.select(*features, target)) as held:
+        survey = Survey(held, {c: F.col(c) for c in features}, F.col(target))
+        medians = survey.order_statistics({c: [(survey.n(c) + 1) // 2 - 1] for c in features if survey.n(c)})
+        median = {c: next(iter(v.values())) for c, v in medians.items()}
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in median.items()}
+        trees = grow(held, target, filled, dict.fromkeys(filled, max(20, int(0.01 * n))), max_depth=depth)
     out = []
-    for c in features:
-        x = F.col(c).cast("double")
-        cells = df.groupBy(bin_index(x, edges[c][1:-1]).alias("bin")).agg(F.max(x).alias("x"), F.count("*").alias("n"), F.sum(target).alias("bad")).orderBy("bin").collect()
-        held = [[r.x, int(r.bad), r.n - int(r.bad)] for r in cells if r.bin is not None]
-        gone = next((r for r in cells if r.bin is None), None)
-        counts = [list(r) for r in held]
-        if gone and held:
-            upto, half = 0, sum(r[1] + r[2] for r in held) / 2
-            for r in held:
-                upto += r[1] + r[2]
-                if upto >= half:
-                    r[1] += int(gone.bad)
-                    r[2] += gone.n - int(gone.bad)
-                    break
-        cuts = tree_cuts(held, max_depth=depth, least=max(20, int(0.01 * n)))
-        for lo, hi in zip([-INF, *cuts], [*cuts, INF], strict=True) if cuts else ():
-            inside = [r for r in counts if lo < r[0] <= hi]
-            out.append(Rule((Part(c, lo, hi),), sum(r[1] + r[2] for r in inside), sum(r[1] for r in inside)))
+    for c, leaves in trees.items():
+        for leaf in leaves if len(leaves) > 1 else ():
+            gone, gone_bad = survey.missing[c] if leaf.lo < median[c] <= leaf.hi else (0, 0)
+            out.append(Rule((Part(c, leaf.lo, leaf.hi),), leaf.bad + leaf.good - gone, leaf.bad - gone_bad))
     return out
 
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.kernels import vifs
 from ..functions.logit import Logit, fit_logit, information, ks_auc, newton
 from .binning import BinTable
 from .woe import woe_column
@@ -293,10 +294,7 @@ class Selector:
 
     def vifs(self, names: list[str]) -> list[float]:
         at = [self.train.names.index(c) for c in names]
-        try:
-            return list(np.diag(np.linalg.inv(self.corr[np.ix_(at, at)])))
-        except np.linalg.LinAlgError:
-            return [float("inf")] * len(names)
+        return vifs(self.corr[np.ix_(at, at)])
 
     def allowed(self, names: list[str]) -> int | None:
         if not self.s.feature_belong or self.s.belong_max_pct is None:

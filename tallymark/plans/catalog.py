@@ -225,12 +225,22 @@ def bin_badrate_merge(spark: SparkSession, df: DataFrame) -> DataFrame:
     return table_of(spark, df, ["prio", "disc"], category_mode="badrate_merge")
 
 
-@query()
+def missing_merged_sql(order: str) -> str:
+    """The bins of qty with the missing rows in the first bin by this order."""
+    bins = bins_sql(f"{list(QTY_CUTS)}", ["qty"])
+    own = bins[: bins.index("n AS (SELECT *, row_number()")].replace("h AS (SELECT", "h0 AS (SELECT")
+    return f"""{own} m AS (SELECT count AS mn, count_bad AS mb FROM h0 WHERE kind = 'missing'),
+p AS (SELECT *, row_number() OVER (ORDER BY {order}, kind, i) AS place FROM (SELECT * FROM h0, m WHERE kind <> 'missing')),
+h AS (SELECT variable, kind, i, count + CASE WHEN place = 1 THEN mn ELSE 0 END AS count, count_bad + CASE WHEN place = 1 THEN mb ELSE 0 END AS count_bad FROM p),
+{weigh_sql()}"""
+
+
+@query(missing_merged_sql("abs(count_bad / count - mb / mn)"))
 def bin_missing_near(spark: SparkSession, df: DataFrame) -> DataFrame:
     return table_of(spark, df, ["qty"], manual_cutoffs=QTY_CUTS, special_values=SPECIALS, missing_combine="near")
 
 
-@query()
+@query(missing_merged_sql("count_bad / count DESC"))
 def bin_missing_worst(spark: SparkSession, df: DataFrame) -> DataFrame:
     return table_of(spark, df, ["qty"], manual_cutoffs=QTY_CUTS, special_values=SPECIALS, missing_combine="worst")
 
