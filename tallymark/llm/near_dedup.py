@@ -3,24 +3,25 @@
 Shingles are five words. A shingle weighs 1 + ln of its count in the text, so that one line repeated hundreds of times does not make
 texts alike, times an inverse document frequency between 1 and 1 + DAMPING; document frequencies of all documents come from a sketch of 2 ** SKETCH_BITS counters, less its mean load. The damping keeps the weighted
 similarity close to the plain one (of sets of shingles): in a group of thousands of near copies, what they share is frequent, and undamped weights
-would hide it. A pair is linked if its weighted or its plain Jaccard similarity is THRESHOLD or more.
+would hide it. A pair is linked if its weighted Jaccard similarity is THRESHOLD or more.
 
 1. Equal texts become one node. Each node gets SAMPLES samples in BANDS bands; at 0.8, all bands miss with 1 - 0.64 each, 0.0003 in all.
 2. Nodes of a band's bucket are joined to the bucket's smallest node; components of that graph hold all candidates, without pairs.
 3. Nodes of a component are ordered by signature and compared, all pairs within CHUNK nodes, with the last OVERLAP nodes of the
    chunk before. Components of up to WHOLE nodes stay together and are compared in full, block by block; in larger ones a second, different order
    links what the first one separates.
-4. In a larger component, the nodes outside its largest class so far are then compared with all of its nodes, in blocks of ROUND
-   that go to every executor: no link between candidates is left out, whatever the component's size.
-5. Components of the verified links are the classes. Texts are read only for nodes with candidates, once per order and block.
+4. In a larger component, the nodes outside its largest class so far are then compared with all nodes that share a band with one of
+   them, in a join of blocks of up to about ROUND nodes or ROUND_BYTES of text a side: no link between nodes of a common band is left
+   out, whatever the component's size.
+5. Components of the verified links are the classes. Texts are read only for nodes with candidates, once per order and for step 4.
 
-Memory per task: the sketch, one block of texts, one chunk's shingles. No bucket, component or class meets in one task.
+Memory per task: the sketch, two blocks of texts, one chunk's shingles. No bucket, component or class meets in one task, and no text
+reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -127,8 +128,8 @@ def _signed(weights):
     return sign
 
 
-Member = tuple[np.ndarray, np.ndarray, np.ndarray]
-"""Tokens of a text, what each weighs, and 1 for the first occurrence of a shingle.
+Member = tuple[np.ndarray, np.ndarray]
+"""Tokens of a text and what each weighs.
 
 A token is a shingle and the number of its occurrence in the text; the k-th occurrence weighs ln k - ln (k - 1) times as much
 as the first, so sums of minima are sums over common tokens.
@@ -137,43 +138,40 @@ as the first, so sums of minima are sums over common tokens.
 
 def similar(chunk: list[Member], old: int) -> list[tuple[int, int]]:
     """Pairs (i, j), i < j and j >= old, of similar members of a chunk."""
-    tokens, weight, base = (np.concatenate([m[k] for m in chunk]) for k in range(3))
+    tokens, weight = (np.concatenate([m[k] for m in chunk]) for k in range(2))
     owner = np.repeat(np.arange(len(chunk)), [len(m[0]) for m in chunk])
     found, first, place, times = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
     column = np.cumsum(times > 1) - 1
     common = times[place] > 1
-    rows, columns, own = owner[common], column[place[common]], np.stack([weight, base])[:, first[times > 1]]
+    rows, columns, own = owner[common], column[place[common]], weight[first[times > 1]]
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
-    both, plain = np.zeros((len(chunk), len(chunk))), np.zeros((len(chunk), len(chunk)))
+    shared = np.zeros((len(chunk), len(chunk)))
     width = 1 << 13
-    for at in range(0, own.shape[1], width):
+    for at in range(0, len(own), width):
         lo, hi = np.searchsorted(columns, [at, at + width])
-        x = np.zeros((len(chunk), min(width, own.shape[1] - at)), np.float32)
+        x = np.zeros((len(chunk), min(width, len(own) - at)), np.float32)
         x[rows[lo:hi], columns[lo:hi] - at] = 1
-        both += (x * own[0, at : at + width]) @ x.T
-        plain += (x * own[1, at : at + width]) @ x.T
-    out = np.zeros(both.shape, bool)
-    for shared, size in ((both, np.bincount(owner, weight, len(chunk))), (plain, np.bincount(owner, base, len(chunk)))):
-        out |= shared >= (THRESHOLD - 1e-6) * (size[:, None] + size[None, :] - shared)
-    i, j = np.nonzero(np.triu(out, 1))
+        shared += (x * own[at : at + width]) @ x.T
+    size = np.bincount(owner, weight, len(chunk))
+    alike = shared >= (THRESHOLD - 1e-6) * (size[:, None] + size[None, :] - shared)
+    i, j = np.nonzero(np.triu(alike, 1))
     return [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if b >= old]
 
 
 def _members(texts: list[str], weights: np.ndarray) -> list[Member]:
-    out: list = [(np.zeros(0, U64), np.zeros(0, np.float32), np.zeros(0, np.float32))] * len(texts)
+    out: list = [(np.zeros(0, U64), np.zeros(0, np.float32))] * len(texts)
     for block in blocks(texts):
         which, starts = np.unique(block.text, return_index=True)
         for i, a, b in zip(which, starts, np.append(starts[1:], len(block.text)), strict=True):
             hashes, counts = block.hash[a:b], block.count[a:b]
-            weight, base = weights[_cells(hashes)], np.ones(len(hashes), np.float32)
+            weight = weights[_cells(hashes)]
             if counts.max() > 1:
                 turn = np.concatenate([np.arange(n) for n in counts])
                 hashes, weight = np.repeat(hashes, counts), np.repeat(weight, counts)
                 hashes = np.where(turn > 0, mix(hashes + turn.astype(U64)), hashes)
-                base = (turn == 0).astype(np.float32)
                 weight = weight * np.where(turn > 0, np.log1p(turn) - np.log(np.maximum(turn, 1)), 1).astype(np.float32)
-            out[block.texts[i]] = hashes, weight, base
+            out[block.texts[i]] = hashes, weight
     return out
 
 
@@ -208,55 +206,46 @@ def _verified(weights):
     return verify
 
 
-def _against(weights, block):
-    """Links between rows (root, node, text) and the block's nodes of the same component; block: root -> nodes and texts."""
+def _against(weights):
+    """Links between a block of outsiders and a block of other nodes of their component."""
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[bytes, tuple[list[bytes], list[Member]]] = {}
-        for frame in frames:
-            pairs: list[tuple[bytes, bytes]] = []
-            for root, rows in frame.groupby("root", sort=False):
-                if root not in block.value:
-                    continue
-                if root not in held:
-                    nodes, texts = block.value[root]
-                    held[root] = nodes, _members(texts, weights.value)
-                nodes, theirs = held[root]
-                for at in range(0, len(rows), CHUNK):
-                    part = rows.iloc[at : at + CHUNK]
-                    own, ids = _members(part["text"].tolist(), weights.value), part["node"].tolist()
-                    for b in range(0, len(nodes), CHUNK):
-                        for i, j in similar(theirs[b : b + CHUNK] + own, len(theirs[b : b + CHUNK])):
-                            if i < len(theirs[b : b + CHUNK]):
-                                pairs.append((nodes[b + i], ids[j - len(theirs[b : b + CHUNK])]))
-            yield pd.DataFrame(pairs, columns=["a", "b"])
+    def compare(outsiders: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        pairs: list[tuple[bytes, bytes]] = []
+        if len(outsiders) and len(others):
+            nodes, theirs = outsiders["_node"].tolist(), _members(outsiders["_text"].tolist(), weights.value)
+            for at in range(0, len(others), CHUNK):
+                part = others.iloc[at : at + CHUNK]
+                own, ids = _members(part["text"].tolist(), weights.value), part["node"].tolist()
+                for b in range(0, len(nodes), CHUNK):
+                    held = theirs[b : b + CHUNK]
+                    pairs += [(nodes[b + i], ids[j - len(held)]) for i, j in similar(held + own, len(held)) if i < len(held)]
+        return pd.DataFrame(pairs, columns=["a", "b"])
 
     return compare
 
 
-def _rest_links(large: DataFrame, roots: DataFrame, weights) -> list[DataFrame]:
-    """Links of the nodes of large components (node, root, text) that are outside the component's largest class in roots."""
-    spark, sc = large.sparkSession, large.sparkSession.sparkContext
+def _outsiders(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes of large components (node, root, ...) that are outside the component's largest class in roots (node, root)."""
     classed = large.select("node", "root").join(roots.withColumnRenamed("root", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     sizes = classed.groupBy("root", "class").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("largest"))
-    rest = classed.join(largest, "root").where("class != largest").select("node")
-    rest = written(large.join(rest, "node"), "rest")
-    count, size = rest.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    found = []
-    parts = max(-(-count // ROUND), -(-size // ROUND_BYTES))
-    for k in range(parts):
-        rows = rest.where(F.pmod(F.xxhash64("node"), F.lit(parts)) == k).select("root", "node", "text").toArrow().to_pylist()
-        block: dict[bytes, tuple[list[bytes], list[str]]] = {}
-        for r in rows:
-            nodes, texts = block.setdefault(bytes(r["root"]), ([], []))
-            nodes.append(bytes(r["node"]))
-            texts.append(r["text"])
-        held = sc.broadcast(block)
-        links = large.select("root", "node", "text").mapInPandas(_against(weights, held), "a binary, b binary")
-        found.append(written(links, "links"))
-        held.unpersist()
-    return found
+    return large.join(classed.join(largest, "root").where("class != largest").select("node"), "node", "left_semi")
+
+
+def _rest_links(texts: DataFrame, weights) -> DataFrame:
+    """Links of the outsiders among texts (node, root, outside, text) with all of texts of the same root."""
+    bytes_ = F.sum(F.octet_length("text"))
+    parts = F.greatest(F.ceil(F.count("*") / ROUND), F.ceil(bytes_ / ROUND_BYTES), F.lit(1)).cast("int")
+    blocks_, cells = (texts.where(c).groupBy("root").agg(parts.alias(name)) for c, name in (("outside", "blocks"), ("true", "cells")))
+    counts = blocks_.join(cells, "root")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keyed = texts.join(counts, "root")
+    named = [F.col(c).alias(f"_{c}") for c in ("root", "node", "text")]
+    outsiders = keyed.where("outside").select(*named, part("blocks").alias("block"), every("cells").alias("cell"))
+    others = keyed.select("root", "node", "text", part("cells").alias("cell"), every("blocks").alias("block"))
+    sides = outsiders.groupBy("_root", "block", "cell").cogroup(others.groupBy("root", "block", "cell"))
+    return sides.applyInPandas(_against(weights), "a binary, b binary")
 
 
 def classes(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -300,11 +289,14 @@ def classes(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFra
         found = placed.select("root", "node", "small", "text").mapInPandas(_verified(weights), "a binary, b binary")
         edges = found if edges is None else edges.union(found)
     roots = components(edges) if edges is not None else candidates.select("node", "root")
-    large = candidates.where(~F.col("small")).select("node", "root", "speaker")
-    if large.limit(1).count():
-        large = written(texts_of(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large).dropDuplicates(["node"]), "large")
-        links = [roots.select(F.col("node").alias("a"), F.col("root").alias("b")), *_rest_links(large, roots, weights)]
-        roots = components(reduce(DataFrame.union, links))
+    large = candidates.where(~F.col("small"))
+    if not large.isEmpty():
+        outside = written(_outsiders(large.select("node", "root", "bands"), roots), "outside")
+        keys = outside.select(F.explode("bands").alias("key")).distinct()
+        near = large.select("node", "root", "speaker", F.explode("bands").alias("key")).join(keys, "key", "left_semi").drop("key").distinct()
+        near = near.join(outside.select("node", F.lit(True).alias("outside")), "node", "left").fillna(False, ["outside"])
+        texts = written(texts_of(near).dropDuplicates(["node"]), "near")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_rest_links(texts, weights)))
 
     ids = own.select("id", "node")
     per_node = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
