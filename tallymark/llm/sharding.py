@@ -2,11 +2,12 @@
 
 Records are ordered by (hash of the text, id), so equal texts are neighbours. A sample of that key, drawn with probability in
 proportion to size, gives quantile boundaries of many more ranges than there are shards; a key that fills several quantiles
-(a group of copies) has its boundary repeated, and its records are subdivided among those ranges by a hash of the id. Exact
-sizes of the ranges then give each record its place in the whole order, and the place decides the shard.
+(a group of copies) has its boundary repeated, and its records are subdivided among those ranges by a hash of the id. Ranges
+that turn out to hold more than OVERFULL times their due (a single record aside) are subdivided by a sample of their own, until none is left or
+ROUNDS are over. Exact sizes of the ranges then give each record its place in the whole order, and the place decides the shard.
 
-Only the sample (at most about SAMPLE_PER_RANGE * MAX_RANGES rows), the sizes of the ranges and one number per shard reach
-the driver, whatever the input.
+Only the samples (at most about SAMPLE_PER_RANGE * MAX_RANGES rows a round), the sizes of the ranges and one number per shard
+reach the driver, whatever the input.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import long_array, uniform
 
 MAX_RANGES, SAMPLE_PER_RANGE, ROWS_PER_RANGE = 4096, 32, 20_000
+OVERFULL, ROUNDS = 2, 4
 LARGE_GROUP = 0.01
 """Equal texts of at most this part of a shard stay together; larger groups are cut where the shard is full."""
 
@@ -51,6 +53,18 @@ def below(key: Column, bounds: list[int], or_equal: bool = False) -> Column:
     return F.least(found, F.lit(len(bounds)))
 
 
+def _ranged(keyed: DataFrame, bounds: list[int]) -> DataFrame:
+    """keyed with the `_range` of each record: 0 to len(bounds). A key that is a boundary several times is dealt among the ranges there by _sub."""
+    low, high = below(F.col("_key"), bounds), below(F.col("_key"), bounds, or_equal=True)
+    spread = F.col("_low") + F.pmod(F.col("_sub"), (F.col("_high") - F.col("_low") + 1).cast("long")).cast("int")
+    return keyed.withColumns({"_low": low, "_high": high}).withColumn("_range", spread).drop("_low", "_high")
+
+
+def _sizes(keyed: DataFrame, bounds: list[int]) -> dict[int, tuple[int, int, int]]:
+    """Size, rows and largest record of each range that has rows."""
+    return {r[0]: tuple(r[1:]) for r in _ranged(keyed, bounds).groupBy("_range").agg(F.sum("size"), F.count("*"), F.max("size")).collect()}
+
+
 def assign_shards(docs: DataFrame, shards: int = 16, text: str = "text", id_: str = "doc_id", seed: int = 8) -> DataFrame:
     """docs with `size`, `shard` (0 to shards - 1) and `slot` (0, 1, ... within each shard), in place of columns so named.
 
@@ -70,14 +84,25 @@ def assign_shards(docs: DataFrame, shards: int = 16, text: str = "text", id_: st
     sample = drawn.groupBy("_key").agg(F.sum("w").alias("w")).collect()
     bounds = quantile_bounds([tuple(r) for r in sample], ranges)
 
-    low, high = below(F.col("_key"), bounds), below(F.col("_key"), bounds, or_equal=True)
-    keyed = keyed.withColumns({"_low": low, "_high": high})
-    spread = F.col("_low") + F.pmod(F.col("_sub"), (F.col("_high") - F.col("_low") + 1).cast("long")).cast("int")
-    keyed = keyed.withColumn("_range", spread).drop("_low", "_high")
-    held = {r[0]: (r[1], r[2]) for r in keyed.groupBy("_range").agg(F.sum("size"), F.count("*")).collect()}
-    per_range = [held.get(r, (0, 0)) for r in range(len(bounds) + 1)]
-    size_before = [0, *accumulate(s for s, _ in per_range)][: len(per_range)]
-    rows_before = [0, *accumulate(n for _, n in per_range)][: len(per_range)]
+    due = -(-total // ranges)
+    for turn in range(ROUNDS):
+        held = _sizes(keyed, bounds)
+        overfull = {r for r, (size, _, largest) in held.items() if size > OVERFULL * due and size - largest > due}
+        if turn == ROUNDS - 1 or not overfull:
+            break
+        own = _ranged(keyed, bounds).where(F.element_at(long_array([int(r in overfull) for r in range(len(bounds) + 1)]), F.col("_range") + 1) == 1)
+        own = own.select("_range", "_key", F.floor(F.col("size") * (SAMPLE_PER_RANGE / due) + uniform("_key", "_sub", seed=seed + turn + 1)).alias("w"))
+        finer: dict[int, list[tuple[int, int]]] = {}
+        for r, key, w in own.where("w > 0").groupBy("_range", "_key").agg(F.sum("w").alias("w")).collect():
+            finer.setdefault(r, []).append((key, w))
+        added = [x for r, rows in finer.items() for x in quantile_bounds(rows, -(-held[r][0] // due))]
+        if not added:
+            break
+        bounds = sorted(bounds + added)
+    keyed = _ranged(keyed, bounds)
+    per_range = [held.get(r, (0, 0, 0)) for r in range(len(bounds) + 1)]
+    size_before = [0, *accumulate(s for s, _, _ in per_range)][: len(per_range)]
+    rows_before = [0, *accumulate(n for _, n, _ in per_range)][: len(per_range)]
 
     order = Window.partitionBy("_range").orderBy("_key", "_sub", id_)
     group = Window.partitionBy("_range", "_key")

@@ -140,6 +140,26 @@ def test_sharding(spark, shards):
     assert set(again) == set(sharding.assign_shards(table, shards).select("doc_id", F.xxhash64("text"), "shard", "slot").where("doc_id IS NOT NULL").collect())
 
 
+@pytest.mark.parametrize("sample", [32, 1])
+def test_sharding_equals_plain_version(spark, monkeypatch, sample):
+    """Distinct texts; a sample of one a range leaves overfull ranges, which are subdivided: no range changes the result."""
+    monkeypatch.setattr(sharding, "SAMPLE_PER_RANGE", sample)
+    used, ranged = [], sharding._ranged
+    monkeypatch.setattr(sharding, "_ranged", lambda keyed, bounds: used.append(len(bounds)) or ranged(keyed, bounds))
+    r = random.Random(9)
+    texts = [f"{i} " + "z" * r.choice([0, 5, 50, 400]) for i in range(3000)] + ["w" * 20_000]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    keyed = table.select("doc_id", (F.octet_length("text") + 1).alias("size"), F.xxhash64("text").alias("key")).orderBy("key").collect()
+    total, before, want, slots = sum(x.size for x in keyed), 0, {}, defaultdict(int)
+    for x in keyed:
+        shard = min(15, int((before * 2 + x.size) * (16 / (2 * total))))
+        want[x.doc_id] = shard, slots[shard]
+        slots[shard] += 1
+        before += x.size
+    assert {x.doc_id: (x.shard, x.slot) for x in sharding.assign_shards(table).collect()} == want
+    assert (len(set(used)) > 1) == (sample == 1)
+
+
 def test_sharding_of_small_tables(spark):
     schema = "doc_id long, text string"
     assert sharding.assign_shards(spark.createDataFrame([], schema)).collect() == []
