@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,20 +38,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
-def _secret_digest(found: pd.Series) -> pd.DataFrame:
-    rows = []
-    for spans in found:
-        own = [(s["kind"], s["start"], s["end"]) for s in spans]
-        kinds = [k for k, _, _ in own]
-        rows.append([kinds.count("assign"), kinds.count("access"), kinds.count("hex"), secrets_scan.base_digest(own), secrets_scan.span_list(own)])
-    return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    digest = F.pandas_udf(_secret_digest, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
-    found = secrets_scan.scanned(documents(spark, sf_dir))
-    return found.select("doc_id", digest("found").alias("d")).select("doc_id", "d.*")
+    rows, found = secrets_scan.scanned(documents(spark, sf_dir)), F.col("found")
+    base = secrets_scan.KINDS[:3]
+    counts = [F.size(secrets_scan.of_kinds(found, k)).cast("long").alias(f"n_{k}") for k in base]
+    digest = F.sha2(secrets_scan.span_list(secrets_scan.of_kinds(found, *base)), 256)
+    return rows.select("doc_id", *counts, digest.alias("base_sha256"), secrets_scan.span_list(found).alias("spans"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Secret scans: an Aho-Corasick automaton finds keywords, anchored expressions run only at its hits, checksums are validated.
 
-Offsets are code points, ends exclusive. A null text counts as empty; every row gets a result; equal rows get equal results.
+Offsets are code points, ends exclusive. A null text counts as empty; every row gets a result; equal rows get equal results;
+whole texts are searched, however long; an empty table gives an empty result. Of the columns of a table only text and id are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -8,11 +9,10 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from hashlib import sha256
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "checksum", "private_key")
@@ -93,9 +93,10 @@ def scanned(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFra
     return out.select(F.col("id").cast(docs.schema[id_].dataType).alias(id_), *out.columns[1:])
 
 
-def span_list(found: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
+def span_list(found: Column) -> Column:
+    one = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    return F.array_join(F.transform(found, one), ",")
 
 
-def base_digest(found: list[tuple[str, int, int]]) -> str:
-    return sha256(span_list([s for s in found if s[0] in KINDS[:3]]).encode()).hexdigest()
+def of_kinds(found: Column, *kinds: str) -> Column:
+    return F.filter(found, lambda s: s["kind"].isin(*kinds))
