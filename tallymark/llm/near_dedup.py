@@ -294,8 +294,9 @@ def classes(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFra
         outside = written(_outsiders(large.select("node", "root", "bands"), roots), "outside")
         keys = outside.select(F.explode("bands").alias("key")).distinct()
         near = large.select("node", "root", "speaker", F.explode("bands").alias("key")).join(keys, "key", "left_semi").drop("key").distinct()
-        near = near.join(outside.select("node", F.lit(True).alias("outside")), "node", "left").fillna(False, ["outside"])
-        texts = written(texts_of(near).dropDuplicates(["node"]), "near")
+        near = written(near.join(outside.select("node", F.lit(True).alias("outside")), "node", "left").fillna(False, ["outside"]), "near")
+        near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
+        texts = written(texts_of(near).dropDuplicates(["node"]), "texts")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_rest_links(texts, weights)))
 
     ids = own.select("id", "node")
