@@ -97,7 +97,10 @@ def monotone(rates: list[float]) -> int:
 
 
 def u_shape(rows: list[Row], side_bins: float = 0.2, side_share: float = 0.2, ends_apart: float = 0.5) -> int:
-    """3 for a valley, 4 for a peak, else 0: the turn lies in the middle, both sides are monotone and large, the ends are close."""
+    """3 for a valley, 4 for a peak, else 0: the turn lies in the middle, both sides are monotone and large, the ends are close.
+
+    The least rate is the turn if it lies in the middle, else the highest one: where the former is no valley, no peak is looked for.
+    """
     n, rates = len(rows), [rate(r) for r in rows]
     if n < 3:
         return 0
@@ -112,6 +115,7 @@ def u_shape(rows: list[Row], side_bins: float = 0.2, side_share: float = 0.2, en
         shares = [sum(r[1] + r[2] for r in side) / total for side in (rows[:turn], rows[turn + 1 :])]
         if falls(left, want[0]) and falls(right, want[1]) and min(shares) >= side_share and span > 0 and abs(rates[0] - rates[-1]) / span <= ends_apart:
             return code
+        return 0
     return 0
 
 

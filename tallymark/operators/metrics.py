@@ -1,11 +1,13 @@
 """Evaluation of scores: KS, AUC, accuracy, PSI, score tables, by split or period.
 
-Rows are summed by distinct score first. Running sums over scores are windows within a key (split, period); where there is one
-key only and very many scores, `buckets` groups scores to equal-width cells beforehand.
+Rows are summed by distinct score first. Running sums over scores are windows within a key (split, period).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,57 @@ def by_period(df: DataFrame, score: str, target: str, period: Column, cuts: list
     return out.withColumns({"ks_decay": decay("ks", base_ks, 0.0), "auc_decay": decay("auc", base_auc, 0.5)})
 
 
+def predicted(model: Column | str | Callable[[DataFrame], Column] | object, df: DataFrame) -> DataFrame:
+    """df with `p`, the probability of bad that a model gives.
+
+    model: a column or its name, a function from the frame to a column, or anything with `transform` as Spark ML's models
+    have it; of those, the second element of `probability` counts, or `prediction` where there is none.
+    """
+    if isinstance(model, str):
+        return df.withColumn("p", F.col(model).cast("double"))
+    if isinstance(model, Column):
+        return df.withColumn("p", model.cast("double"))
+    if not hasattr(model, "transform"):
+        if not callable(model):
+            raise TypeError("a model is a column, a function of the frame, or has transform")
+        return df.withColumn("p", model(df).cast("double"))
+    out = model.transform(df)
+    if "probability" not in out.columns:
+        return out.withColumn("p", F.col("prediction").cast("double"))
+    if dict(out.dtypes)["probability"] != "vector":
+        return out.withColumn("p", F.element_at("probability", 2).cast("double"))
+    from pyspark.ml.functions import vector_to_array
+
+    return out.withColumn("p", F.element_at(vector_to_array("probability"), 2))
+
+
+def evaluate(model: object, train: DataFrame, target: str, test: DataFrame | None = None, oot: DataFrame | None = None, features: list[str] | None = None, n_bins: int = 10, threshold: float = 0.5) -> dict:
+    """KS, AUC and accuracy of any model (see predicted) on each sample, losses and PSI, and score_table of the test (or else training) sample."""
+    samples = {k: d for k, d in (("train", train), ("test", test), ("oot", oot)) if d is not None}
+    parts = [predicted(model, d).select(F.lit(k).alias("sample"), F.round("p", 10).alias("p"), F.col(target).alias("y")) for k, d in samples.items()]
+    names = {} if features is None else {"model_vars": features, "n_vars": len(features)}
+    return names | evaluate_rows(reduce(DataFrame.union, parts), n_bins, threshold)
+
+
+def evaluate_rows(rows: DataFrame, n_bins: int = 10, threshold: float = 0.5) -> dict:
+    """What evaluate gives, from rows (sample: train, test or oot; p; y)."""
+    found = {r["sample"]: r for r in ks_auc(rows, F.col("p"), "y", ["sample"]).join(accuracy(rows, F.col("p"), "y", ["sample"], threshold), "sample").collect()}
+    cuts = score_edges(rows.where("sample = 'train'"), "p", n_bins)
+    psi = dict(score_psi(rows, "p", cuts, ["sample"], F.col("sample") == "train").collect())
+    out: dict = {}
+    for name, short in (("train", "trn"), ("test", "test"), ("oot", "oot")):
+        if name in found:
+            out |= {f"{short}_{k}": found[name][k] for k in ("ks", "auc", "acc")}
+    if "test" in found:
+        out |= {"ks_reduce": round(out["trn_ks"] - out["test_ks"], 6), "psi": psi["test"]}
+        out["ks_rel_gap"] = round(out["ks_reduce"] / out["trn_ks"], 6) if out["trn_ks"] else None
+    if "oot" in found:
+        out["psi_oot"] = psi["oot"]
+    name = "test" if "test" in found else "train"
+    out["score_table"] = score_table(rows.where(F.col("sample") == name), "p", "y", cuts)
+    return out
+
+
 def roc_points(df: DataFrame, score: Column, target: str) -> DataFrame:
     """score, fpr, tpr (6 digits) at every distinct threshold, from the highest score down."""
     cells, whole = by_score(df, -score, target, []), Window.partitionBy()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import warnings
 from dataclasses import asdict, dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ DEFAULT_RULES = (
     {"metric": "ks_decay", "op": ">", "value": 0.15, "level": "warn", "message": "KS decay above 15 %"},
     {"metric": "ks_decay", "op": ">", "value": 0.30, "level": "critical", "message": "KS decay above 30 %"},
 )
-HISTORY = "period string, n long, bad_rate double, ks double, auc double, psi_score double, psi_features_n int, n_alerts int, status string"
+HISTORY = "period string, timestamp string, n long, bad_rate double, ks double, auc double, psi_score double, psi_features_n int, n_alerts int, status string"
 COMPARE = {">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, "==": lambda a, b: abs(a - b) <= 1e-9}
 
 
@@ -57,6 +58,8 @@ class Snapshot:
     alerts: list[tuple[str, str]] = field(default_factory=list)
     """(level, message)"""
     psi_trend: float | None = None
+    timestamp: str | None = None
+    """When it was taken (ISO 8601, UTC)."""
 
     @property
     def status(self) -> str:
@@ -114,11 +117,20 @@ class Monitor:
         if self.snapshots and snap.psi_score is not None and self.snapshots[-1].psi_score is not None:
             snap.psi_trend = round(snap.psi_score - self.snapshots[-1].psi_score, 6)
         snap.alerts = alerts(snap, self.rules)
-        self.snapshots.append(snap)
+        snap.timestamp = datetime.now(UTC).isoformat(timespec="seconds")
+        self.add_snapshot(snap)
         return snap
 
+    def add_snapshot(self, snap: Snapshot) -> None:
+        """Appends a snapshot as it is, for example one of an earlier time."""
+        self.snapshots.append(snap)
+
+    def latest_alerts(self) -> list[tuple[str, str]]:
+        """What the last snapshot's alerts are."""
+        return self.snapshots[-1].alerts if self.snapshots else []
+
     def history(self, spark: SparkSession) -> DataFrame:
-        rows = [(s.period, s.n, s.bad_rate, s.ks, s.auc, s.psi_score, len(s.psi_features), len(s.alerts), s.status) for s in self.snapshots]
+        rows = [(s.period, s.timestamp, s.n, s.bad_rate, s.ks, s.auc, s.psi_score, len(s.psi_features), len(s.alerts), s.status) for s in self.snapshots]
         return spark.createDataFrame(rows, HISTORY)
 
     def save(self, path: str) -> None:
@@ -161,3 +173,14 @@ def baseline(df: DataFrame, score: str, target: str, tables: dict[str, BinTable]
     out.scores = {r[0]: r[1] for r in df.groupBy(out.score_bin(F.col(score)).alias("b")).count().collect() if r[0] is not None}
     out.features = out._feature_counts(df)
     return out
+
+
+def from_chain(chain, key_features: list[str] | None = None, bins: int = 20, rules: tuple[dict, ...] = DEFAULT_RULES) -> Monitor:
+    """A monitor from the training sample of a chain whose card is made; follows key_features, or else the features of the model."""
+    if chain.card is None or not chain.tables or not chain.encoded:
+        raise RuntimeError("bin, transform and fit must come first")
+    followed = key_features or chain.support
+    if not followed:
+        raise RuntimeError("no feature to follow")
+    scored = chain.train.withColumn("_score", chain.card.score()).select("_score", chain.target, *followed)
+    return baseline(scored, "_score", chain.target, {c: chain.tables[c] for c in followed if c in chain.tables}, bins, rules)

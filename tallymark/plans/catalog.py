@@ -725,7 +725,7 @@ def monitor_ks_decay(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 @query()
 def monitor_alerts(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return _tracked(df).history(spark)
+    return _tracked(df).history(spark).drop("timestamp")
 
 
 @query()

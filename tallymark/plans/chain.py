@@ -172,23 +172,7 @@ class Chain:
     def evaluate(self, n_bins: int = 10, threshold: float = 0.5) -> Chain:
         """evaluation_: KS, AUC and accuracy of each sample, losses and PSI; score_table of the test (or else training) sample."""
         if self._needs(fit=self.card):
-            rows = self.probabilities()
-            found = {r["sample"]: r for r in metrics.ks_auc(rows, F.col("p"), "y", ["sample"]).join(metrics.accuracy(rows, F.col("p"), "y", ["sample"], threshold), "sample").collect()}
-            train = rows.where("sample = 'train'")
-            cuts = metrics.score_edges(train, "p", n_bins)
-            psi = dict(metrics.score_psi(rows, "p", cuts, ["sample"], F.col("sample") == "train").collect())
-            out: dict = {"model_vars": self.support, "n_vars": len(self.support)}
-            for name, short in (("train", "trn"), ("test", "test"), ("oot", "oot")):
-                if name in found:
-                    out |= {f"{short}_{k}": found[name][k] for k in ("ks", "auc", "acc")}
-            if "test" in found:
-                out |= {"ks_reduce": round(out["trn_ks"] - out["test_ks"], 6), "psi": psi["test"]}
-                out["ks_rel_gap"] = round(out["ks_reduce"] / out["trn_ks"], 6) if out["trn_ks"] else None
-            if "oot" in found:
-                out["psi_oot"] = psi["oot"]
-            name = "test" if "test" in found else "train"
-            out["score_table"] = metrics.score_table(rows.where(F.col("sample") == name), "p", "y", cuts)
-            self.evaluation_ = out
+            self.evaluation_ = {"model_vars": self.support, "n_vars": len(self.support)} | metrics.evaluate_rows(self.probabilities(), n_bins, threshold)
         return self
 
     def evaluate_frame(self) -> DataFrame:

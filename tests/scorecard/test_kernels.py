@@ -46,6 +46,7 @@ def test_trends():
     assert [K.monotone(x) for x in ([0.1, 0.2, 0.2], [0.3, 0.2], [0.1, 0.1], [0.1], [0.1, 0.3, 0.2])] == [1, 2, 1, 0, 0]
     valley = [[i, b, 100 - b] for i, b in enumerate([40, 20, 10, 20, 38])]
     assert K.u_shape(valley) == 3 and K.u_shape([[i, 100 - b, b] for i, b, _ in valley]) == 4
+    assert K.u_shape([[i, b, 100 - b] for i, b in enumerate((50, 90, 10, 10))]) == 0
     with pytest.raises(ValueError):
         K.trend_code("sideways")
     out, code = K.adjust([[i, b, 100 - b] for i, b in enumerate([10, 30, 20, 50, 40, 70])], 600, min_woe=0.0, trend=1)

@@ -169,9 +169,39 @@ def test_monitor_round_trip(spark, df, tables, tmp_path):
     held = monitoring.Monitor.load(path)
     assert held.history(spark).collect() == m.history(spark).collect()
     assert held.track(train, "again", "score").psi_score == 0.0
+    m.add_snapshot(monitoring.Snapshot("older", 5, None, None, None, None, timestamp="2020-01-01T00:00:00+00:00"))
+    rows = m.history(spark).collect()
+    assert len(rows[0]) == 10 and rows[-1].timestamp.startswith("2020") and rows[0].timestamp > rows[-1].timestamp and m.latest_alerts() == []
     assert not monitoring.compare(1, "~", 1) and monitoring.compare(1, "==", 1 + 1e-12)
 
 
+def test_monitor_from_a_chain_and_any_model(spark, df):
+    train, test, oot = (d.drop("apply_date", "yr") for d in samples(df))
+    chain = Chain().read(train, target="bad", test=test, oot=oot)
+    with pytest.raises(RuntimeError):
+        monitoring.from_chain(chain)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        chain.bin(n_bins=4, special_values=SPECIALS).transform().fit().scorecard().evaluate()
+    m = monitoring.from_chain(chain)
+    assert m.auc == pytest.approx(chain.evaluation_["trn_auc"], abs=1e-4) and set(m.features) == set(chain.support)
+    assert set(monitoring.from_chain(chain, ["qty"]).features) == {"qty"}
+    raw = chain.card.probability()
+    own = metrics.evaluate(raw, chain.train, "bad", chain.test, chain.oot, chain.support)
+    for k, v in chain.evaluation_.items():
+        if k != "score_table":
+            assert own[k] == (pytest.approx(v, abs=1e-4) if isinstance(v, float) else v), k
+    assert metrics.evaluate(lambda d: raw, chain.train, "bad")["trn_auc"] == own["trn_auc"]
+
+    class Fitted:
+        def transform(self, frame):
+            return frame.withColumn("probability", F.array(1 - raw, raw))
+
+    assert metrics.evaluate(Fitted(), chain.train, "bad")["trn_ks"] == own["trn_ks"]
+    with pytest.raises(TypeError):
+        metrics.evaluate(3, chain.train, "bad")
+
+
 def test_stream_tracks_batches(spark, df, tmp_path):
     own = df.select((600 - F.col("disc") * 10).alias("score"), "bad", F.col("yr").cast("string").alias("period"))
     own.repartition(2).write.parquet(f"{tmp_path}/in")
