@@ -7,13 +7,16 @@ would hide it. A pair is linked if its weighted Jaccard similarity is THRESHOLD
 
 1. Equal texts become one node. Each node gets SAMPLES samples in BANDS bands; at 0.8, all bands miss with 1 - 0.64 each, 0.0003 in all.
 2. Nodes of a band's bucket are joined to the bucket's smallest node; components of that graph hold all candidates, without pairs.
+   Buckets of texts that share a line chain most of a corpus into one component. In components of over WHOLE nodes, nodes of a bucket
+   are joined only where they share a token of their prefixes too, the rarest tokens of a text that make up a fifth of its weight.
+   Two texts of similarity THRESHOLD share one, so no such pair is lost, whatever the bucket's size.
 3. Nodes of a component are ordered by signature and compared, all pairs within CHUNK nodes, with the last OVERLAP nodes of the
    chunk before. Components of up to WHOLE nodes stay together and are compared in full, block by block; in larger ones a second, different order
    links what the first one separates.
 4. In a larger component, the nodes outside its largest class so far are then compared with all nodes that share a band with one of
    them, in a join of blocks of up to about ROUND nodes or ROUND_BYTES of text a side: no link between nodes of a common band is left
    out, whatever the component's size.
-5. Components of the verified links are the classes. Texts are read only for nodes with candidates, once per order and for step 4.
+5. Components of the verified links are the classes. Texts of nodes that share a bucket are kept once, and read from there by each step.
 
 Memory per task: the sketch, two blocks of texts, one chunk's shingles. No bucket, component or class meets in one task, and no text
 reaches the driver.
@@ -175,6 +178,30 @@ def _members(texts: list[str], weights: np.ndarray) -> list[Member]:
     return out
 
 
+def prefix(member: Member) -> np.ndarray:
+    """The first tokens of a text, heaviest (rarest) first, without which what is left weighs less than THRESHOLD of the whole.
+
+    The order is one of tokens, the same in every text. Of two similar texts, what they share weighs THRESHOLD of either or
+    more, so the first token that they share is in both prefixes.
+    """
+    tokens, weight = member
+    order = np.lexsort((tokens, -weight))
+    own = weight[order].astype(np.float64)
+    left = own[::-1].cumsum()[::-1]
+    return tokens[order[left >= (THRESHOLD - 1e-5) * own.sum()]]
+
+
+def _prefixed(weights):
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), CHUNK):
+                part = frame.iloc[at : at + CHUNK]
+                tokens = [prefix(x).view(np.int64) for x in _members(part["text"].tolist(), weights.value)]
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "root": part["root"].to_numpy(), "tokens": tokens})
+
+    return cut
+
+
 def _verified(weights):
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, rest, done, whole = None, [], 0, False
@@ -248,6 +275,32 @@ def _rest_links(texts: DataFrame, weights) -> DataFrame:
     return sides.applyInPandas(_against(weights), "a binary, b binary")
 
 
+def _few(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """found (node, ...) with the text of each node; the nodes are broadcast while they are few."""
+    return texts.join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, "node")
+
+
+def _texts(own: DataFrame, found: DataFrame) -> DataFrame:
+    """node, text of each of found (node, id), from a row of that id alone: copies meet in no task."""
+    found = found.select(F.col("node").alias("_node"), F.col("id").alias("_id"))
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    rows = own.join(found, (own["node"] == found["_node"]) & own["id"].eqNullSafe(found["_id"]), "left_semi")
+    return rows.select("node", "text").dropDuplicates(["node"])
+
+
+def _hubs(rows: DataFrame, key: str) -> DataFrame:
+    """key and hub (the smallest node) of each key of rows (key, node) that has several nodes."""
+    return rows.groupBy(key).agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub != _last").drop("_last")
+
+
+def _meeting(cut: DataFrame, shared: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all nodes of cut (node, root, tokens) that share both a token and a key of shared (node, key)."""
+    tokens = cut.select("node", "root", F.explode("tokens").alias("token")).select("node", F.xxhash64("root", "token").alias("token"))
+    tokens = tokens.join(_hubs(tokens, "token").select("token"), "token")
+    both = tokens.join(shared.select("node", "key"), "node").select("node", F.xxhash64("key", "token").alias("spot"))
+    return both.join(_hubs(both, "spot"), "spot").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
 def classes(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
     """id, _node (digest of the text), class_id (the smallest id of the class) and class_size (documents) of each row of docs.
 
@@ -262,30 +315,27 @@ def classes(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFra
     copies = written(own.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("n")), "copies")
 
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").drop("last")
-    star = rows.join(hubs, "key").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    candidates = components(star)
+    shared = written(rows.join(_hubs(rows, "key"), "key"), "shared")
+    candidates = components(shared.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    texts = written(_texts(own, candidates.join(copies.select("node", "id"), "node")), "texts")
+    crowds = candidates.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > WHOLE)
+    crowded = written(candidates.join(crowds.select("root"), "root", "left_semi"), "crowded")
+    if not crowded.isEmpty():
+        cut = _few(crowded, texts).mapInPandas(_prefixed(weights), "node binary, root binary, tokens array<long>")
+        parted = components(_meeting(written(cut, "prefixes"), shared))
+        candidates = candidates.join(crowded.select("node"), "node", "left_anti").union(parted.select("node", "root"))
     sizes = candidates.groupBy("root").agg((F.count("*") <= WHOLE).alias("small"))
-    candidates = candidates.join(nodes, "node").join(sizes, "root").join(copies.select("node", F.col("id").alias("speaker")), "node")
-    candidates = written(candidates, "candidates")
-
-    def texts_of(found: DataFrame) -> DataFrame:
-        """found with the text of each node, from the row of least id alone: copies meet in no task."""
-        rows = own.select("id", "node", "text").withColumnRenamed("node", "own")
-        return rows.join(found, (rows["own"] == found["node"]) & rows["id"].eqNullSafe(found["speaker"])).drop("own", "id", "speaker")
+    candidates = written(candidates.join(nodes, "node").join(sizes, "root"), "candidates")
 
     edges = None
     for turn in range(2):
         mine = candidates if turn == 0 else candidates.where(~F.col("small"))
-        count = mine.count()
-        if count == 0:
+        if mine.isEmpty():
             continue
         half = BANDS // 2
         order = F.col("bands") if turn == 0 else F.concat(F.slice("bands", half + 1, half), F.slice("bands", 1, half))
-        mine = mine.select("node", "root", "small", "speaker", F.when(~F.col("small"), order).alias("order"))
-        if count <= BROADCAST_ROWS:
-            mine = F.broadcast(mine)
-        placed = texts_of(mine).repartitionByRange("root", "order").sortWithinPartitions("root", "order", "node")
+        mine = mine.select("node", "root", "small", F.when(~F.col("small"), order).alias("order"))
+        placed = _few(mine, texts).repartitionByRange("root", "order").sortWithinPartitions("root", "order", "node")
         found = placed.select("root", "node", "small", "text").mapInPandas(_verified(weights), "a binary, b binary")
         edges = found if edges is None else edges.union(found)
     roots = components(edges) if edges is not None else candidates.select("node", "root")
@@ -293,11 +343,10 @@ def classes(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFra
     if not large.isEmpty():
         outside = written(_outsiders(large.select("node", "root", "bands"), roots), "outside")
         keys = outside.select(F.explode("bands").alias("key")).distinct()
-        near = large.select("node", "root", "speaker", F.explode("bands").alias("key")).join(keys, "key", "left_semi").drop("key").distinct()
+        near = large.select("node", "root", F.explode("bands").alias("key")).join(keys, "key", "left_semi").drop("key").distinct()
         near = written(near.join(outside.select("node", F.lit(True).alias("outside")), "node", "left").fillna(False, ["outside"]), "near")
-        near = F.broadcast(near) if near.count() <= BROADCAST_ROWS else near
-        texts = written(texts_of(near).dropDuplicates(["node"]), "texts")
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_rest_links(texts, weights)))
+        met = written(_few(near, texts), "met")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_rest_links(met, weights)))
 
     ids = own.select("id", "node")
     per_node = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

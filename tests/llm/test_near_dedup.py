@@ -88,6 +88,35 @@ def test_outsiders_meet_all_others_in_blocks(spark, monkeypatch):
     assert got == want
 
 
+def test_texts_that_share_a_line_are_not_compared_with_all_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "WHOLE", 20)
+    names, real = [], near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: names.append(name) or real(df, name))
+    r = random.Random(14)
+    line = words(r, 60)
+    texts = [" ".join(line + words(r, 30)) for _ in range(150)]
+    texts += [" ".join(edited(r, t.split(), 1)) for t in texts[::10]]
+    got = {x.doc_id: x.class_id for x in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute(texts)
+    assert "crowded" in names and "near" not in names  # one component by buckets, none of over WHOLE nodes by prefixes
+
+
+def test_similar_texts_share_a_token_of_their_prefixes():
+    r = np.random.default_rng(15)
+    pool = r.integers(1, 1 << 62, 300).astype(np.uint64)
+    weight = r.choice(np.linspace(0.3, 1.25, 40), 300).astype(np.float32)
+    similar = 0
+    for _ in range(3000):
+        own = np.sort(r.choice(300, r.integers(1, 40), replace=False))
+        other = np.union1d(own[r.random(len(own)) < 0.93], r.choice(300, r.integers(0, 4), replace=False))
+        a, b = (weight[x].astype(float).sum() for x in (own, other))
+        common = weight[np.intersect1d(own, other)].astype(float).sum()
+        if common and common >= 0.8 * (a + b - common):
+            similar += 1
+            assert np.intersect1d(near_dedup.prefix((pool[own], weight[own])), near_dedup.prefix((pool[other], weight[other]))).size
+    assert similar > 500
+
+
 def test_a_repeated_line_does_not_make_texts_alike(spark):
     r = random.Random(9)
     docs = [(i, " ".join(words(r, 120)) + "\nIs onhe." * 300) for i in range(12)]
