@@ -9,7 +9,8 @@ would hide it. A pair is linked if its weighted Jaccard similarity is THRESHOLD
 2. Nodes of a band's bucket are joined to the bucket's smallest node; components of that graph hold all candidates, without pairs.
    Buckets of texts that share a line chain most of a corpus into one component. In components of over WHOLE nodes, nodes of a bucket
    are joined only where they share a token of their prefixes too, the rarest tokens of a text that make up a fifth of its weight.
-   Two texts of similarity THRESHOLD share one, so no such pair is lost, whatever the bucket's size.
+   Two texts of similarity THRESHOLD share one, so no such pair is lost, whatever the bucket's size. Buckets of up to BUCKET nodes
+   are joined in one pass over their nodes' tokens; in larger ones, nodes are joined that tokens connect, directly or by others.
 3. Nodes of a component are ordered by signature and compared, all pairs within CHUNK nodes, with the last OVERLAP nodes of the
    chunk before. Components of up to WHOLE nodes stay together and are compared in full, block by block; in larger ones a second, different order
    links what the first one separates.
@@ -18,7 +19,7 @@ would hide it. A pair is linked if its weighted Jaccard similarity is THRESHOLD
    out, whatever the component's size.
 5. Components of the verified links are the classes. Texts of nodes that share a bucket are kept once, and read from there by each step.
 
-Memory per task: the sketch, two blocks of texts, one chunk's shingles. No bucket, component or class meets in one task, and no text
+Memory per task: the sketch, two blocks of texts, one chunk's shingles, the prefixes of BUCKET texts. No larger bucket, component or class meets in one task, and no text
 reaches the driver.
 """
 
@@ -38,7 +39,7 @@ from .shingles import U64, Block, blocks, mix
 THRESHOLD, DAMPING = 0.8, 0.25
 SAMPLES, BANDS = 16, 8
 SKETCH_BITS, SEGMENTS = 20, 64
-CHUNK, OVERLAP, WHOLE = 64, 16, 512
+CHUNK, OVERLAP, WHOLE, BUCKET = 64, 16, 512, 256
 ROUND, ROUND_BYTES = 2048, 16 << 20
 BROADCAST_ROWS = 200_000
 
@@ -293,12 +294,62 @@ def _hubs(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub != _last").drop("_last")
 
 
+def _met(rows: DataFrame, key: str) -> DataFrame:
+    """Edges (a, b) that connect all nodes of rows (key, node) that share a key."""
+    return rows.join(_hubs(rows, key), key).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+
+
+def tied(nodes: list[bytes], tokens: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+    """Edges that connect all nodes that share a token, one a node at most."""
+    owner, every = np.repeat(np.arange(len(nodes)), [len(x) for x in tokens]), np.concatenate(tokens)
+    order = np.argsort(every, kind="stable")
+    owner, same = owner[order], every[order][1:] == every[order][:-1]
+    up = list(range(len(nodes)))
+    for code in np.unique(owner[:-1][same] * len(nodes) + owner[1:][same]).tolist():
+        a, b = divmod(code, len(nodes))
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    return [(nodes[i], nodes[j]) for i, j in enumerate(up) if i != j]
+
+
+def _tied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """tied of the rows (key, node, tokens) of each key, which come together."""
+    key, nodes, tokens = None, [], []
+    for frame in frames:
+        pairs: list[tuple[bytes, bytes]] = []
+        for own, node, held in zip(frame["key"], frame["node"], frame["tokens"], strict=True):
+            if own != key:
+                pairs += tied(nodes, tokens) if len(nodes) > 1 else []
+                key, nodes, tokens = own, [], []
+            nodes.append(node)
+            tokens.append(held)
+        yield pd.DataFrame(pairs, columns=["a", "b"])
+    yield pd.DataFrame(tied(nodes, tokens) if len(nodes) > 1 else [], columns=["a", "b"])
+
+
 def _meeting(cut: DataFrame, shared: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all nodes of cut (node, root, tokens) that share both a token and a key of shared (node, key)."""
-    tokens = cut.select("node", "root", F.explode("tokens").alias("token")).select("node", F.xxhash64("root", "token").alias("token"))
-    tokens = tokens.join(_hubs(tokens, "token").select("token"), "token")
-    both = tokens.join(shared.select("node", "key"), "node").select("node", F.xxhash64("key", "token").alias("spot"))
-    return both.join(_hubs(both, "spot"), "spot").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    """Edges (a, b) that connect all nodes of cut (node, root, tokens) that share both a token and a key of shared (node, key).
+
+    In a bucket of up to BUCKET nodes, those that share a token. In a larger one, those that tokens connect, by whatever nodes of
+    larger buckets of their component; that may connect more, never less. A row for each key or token of a node, not for each pair of both.
+    """
+    keys = written(shared.select("node", "key").join(cut.select("node", "tokens"), "node"), "keys")
+    large = written(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("key"), "large")
+    n = large.count()
+    hot = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    placed = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    edges = placed.select("key", "node", "tokens").mapInPandas(_tied, "a binary, b binary")
+    if not n:
+        return edges
+    busy = written(keys.select("node", "key").join(hot, "key", "left_semi"), "busy")
+    tokens = cut.join(busy.select("node").distinct(), "node", "left_semi").select("node", "root", F.explode("tokens").alias("token"))
+    tokens = written(tokens.select("node", F.xxhash64("root", "token").alias("token")), "tokens")
+    by_token = components(_met(tokens, "token"))
+    spots = written(busy.join(by_token, "node").select("node", F.xxhash64("key", "root").alias("spot")), "spots")
+    return edges.union(_met(spots, "spot"))
 
 
 def classes(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:

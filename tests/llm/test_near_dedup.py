@@ -117,6 +117,29 @@ def test_similar_texts_share_a_token_of_their_prefixes():
     assert similar > 500
 
 
+@pytest.mark.parametrize("bucket", [256, 5])
+def test_parting_makes_no_row_for_each_pair_of_key_and_token(spark, monkeypatch, bucket):
+    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
+    r = random.Random(16)
+    name = lambda i: bytes([i // 256, i % 256])
+    held = {i: (r.sample(range(60), 6), [i % 2 * 1000 + x for x in r.sample(range(120), 5)] + [10_000 + i]) for i in range(300)}
+    held |= {i: ([60, 61, 62], list(range(i // 4 * 50 + 5000, i // 4 * 50 + 5030))) for i in range(300, 340)}
+    cut = spark.createDataFrame([(name(i), b"root", tokens) for i, (_, tokens) in held.items()], "node binary, root binary, tokens array<long>").repartition(3)
+    shared = spark.createDataFrame([(name(i), key) for i, (keys, _) in held.items() for key in keys], "node binary, key long").repartition(3)
+    edges = near_dedup._meeting(cut, shared)
+    assert edges.count() <= shared.count()  # 10 groups of 4 with 30 tokens in 3 buckets alone made 3600 rows, of 1920 keys
+    part = {bytes(x.node): bytes(x.root) for x in components(edges).collect()}
+    pairs = [(i, j) for i in held for j in held if i < j and all(set(held[i][k]) & set(held[j][k]) for k in range(2))]
+    assert len(pairs) > 500 and all(part[name(i)] == part[name(j)] for i, j in pairs)
+    assert len({part[name(i)] for i in range(300, 340)}) == 10
+    assert not {part[name(i)] for i in range(300)} & {part[name(i)] for i in range(300, 340)}
+    if bucket == 256:
+        up = {i: i for i in held}
+        for i, j in pairs * 20:
+            up[i] = up[j] = min(up[i], up[j])
+        assert len({part[name(i)] for i, _ in pairs}) == len({up[i] for i, _ in pairs})
+
+
 def test_a_repeated_line_does_not_make_texts_alike(spark):
     r = random.Random(9)
     docs = [(i, " ".join(words(r, 120)) + "\nIs onhe." * 300) for i in range(12)]
